@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from ledgerlight.llm.quality import op2_quality_rules
+from ledgerlight.llm.simhash import op7_simhash
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op7_simhash": op7_simhash,
 }
 
 ORACLES: dict[str, str] = {}
