@@ -1,0 +1,8 @@
+"""A PySpark-native engine for spend patterns, with operators for training corpora in ``ledgerlight.llm``."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
