@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from ledgerlight.llm.mixing import op3_mixing
 from ledgerlight.llm.quality import op2_quality_rules
 from ledgerlight.llm.simhash import op7_simhash
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_mixing": op3_mixing,
     "op7_simhash": op7_simhash,
 }
 
