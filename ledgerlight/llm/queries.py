@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from ledgerlight.llm.decontaminate import op10_decontamination
 from ledgerlight.llm.mixing import op3_mixing
+from ledgerlight.llm.pii import op1_pii
 from ledgerlight.llm.quality import op2_quality_rules
 from ledgerlight.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op7_simhash": op7_simhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
