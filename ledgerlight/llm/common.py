@@ -50,6 +50,18 @@ def unpacked(df: DataFrame, columns: list[str], **outputs: Column) -> DataFrame:
     return df.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in columns if c.lower() not in taken], *[c.alias(k) for k, c in outputs.items()])
 
 
+def fenced(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows, with these columns behind a generator.
+
+    A filter on them would else be moved below the steps that compute them and
+    be expanded to one expression, in which a lambda computes whole arrays again
+    for each of its elements.
+    """
+    rest = [F.col(quoted(c)) for c in df.columns if c not in names]
+    both = df.select(*rest, F.explode_outer(F.array(F.struct(*names))).alias("b_fence"))
+    return both.select(*rest, *[F.col(f"b_fence.{c}").alias(c) for c in names])
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with reliable copies in the folder of ``spark.checkpoint.dir``.
 

@@ -200,6 +200,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY, count: str | None = "n_pii")
     if count:
         changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))
         outputs[count] = F.when(F.size("found") > 0, changed).otherwise(0).cast("bigint")
+    df = common.fenced(df.select("row", F.col("clean"), outputs[count].alias("n") if count else F.lit(0).alias("n")), "clean", "n")
+    outputs = {"text": F.col("clean"), **({count: F.col("n")} if count else {})}
     if count is None:  # the input's columns in the input's order
         return df.select(*[(F.col("clean") if c.lower() == "text" else F.col(f"row.{common.quoted(c)}")).alias(c) for c in docs.columns])
     return common.unpacked(df, docs.columns, **outputs)

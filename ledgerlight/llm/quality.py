@@ -136,8 +136,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     df = df.withColumn("llr", F.when(n == 0, F.lit(0.0)).otherwise(F.col("b_sum") / n)).withColumn(
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     )
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return common.unpacked(
-        df,
+        common.fenced(df.select("row", *counts, "base_failed", "llr"), *counts, "base_failed", "llr"),
         docs.columns,
         n_words=F.col("n_words"),
         word_chars=F.col("word_chars"),
