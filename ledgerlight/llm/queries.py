@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerlight.llm.chat import OP9_SQL, op9_chat
 from ledgerlight.llm.decontaminate import op10_decontamination
 from ledgerlight.llm.mixing import op3_mixing
 from ledgerlight.llm.pii import op1_pii
@@ -13,7 +14,8 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op7_simhash": op7_simhash,
+    "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
