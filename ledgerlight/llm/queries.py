@@ -10,6 +10,7 @@ from ledgerlight.llm.mixing import op3_mixing
 from ledgerlight.llm.pii import op1_pii
 from ledgerlight.llm.quality import op2_quality_rules
 from ledgerlight.llm.simhash import op7_simhash
+from ledgerlight.llm.suffix_dedup import op5_suffix_dedup
 from ledgerlight.llm.tokens import op6_token_counts
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_lm_score": op8_lm_score,
