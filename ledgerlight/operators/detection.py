@@ -53,6 +53,11 @@ def reasons(pct: Column, category: Column, checks: Column) -> Column:
     return F.concat(first, base, F.array_except(more, base))
 
 
+def cents(value: Column) -> Column:
+    """Half up; the first step takes off what binary fractions add or lack, so that every engine sees the same half."""
+    return F.round(F.round(value, 4), 2)
+
+
 def median(sorted_values: Column) -> Column:
     """Of an array in order."""
     n = F.size(sorted_values)
@@ -124,7 +129,7 @@ def predictions(txns: DataFrame, keys: list[str]) -> DataFrame:
     df = fenced(df.select(*keys, "now", "base", "least_diff", "least_pct", "extra_checks", "middle", "days"), "now", "base", "middle", "days")
     return df.filter(F.col("base").isNotNull()).select(
         *keys, "now", "base", "least_diff", "least_pct", "extra_checks",
-        F.round("middle", 2).alias("expected"), F.round(F.col("middle") * 0.90, 2).alias("lower_bound"), F.round(F.col("middle") * 1.10, 2).alias("upper_bound"),
+        cents(F.col("middle")).alias("expected"), cents(F.col("middle") * 0.90).alias("lower_bound"), cents(F.col("middle") * 1.10).alias("upper_bound"),
         cycle_fit(F.col("days"))["days"].alias("cycle_days"),
     )
 

@@ -270,3 +270,205 @@ def parse_amounts(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.parsed_amount(written).alias("amount"))
 
 
+
+
+_FEEDBACK = "SELECT user_id, CASE event_type WHEN 'purchase' THEN 'expected' WHEN 'view' THEN 'expected' WHEN 'click' THEN 'expected' WHEN 'error' THEN 'unexpected' WHEN 'signup' THEN 'cancel' ELSE 'remind_later' END AS f, event_id FROM events"
+_TOLERANCE = f"""SELECT user_id, round(list_reduce(list_prepend(1.0::DOUBLE, list(CASE f WHEN 'expected' THEN 0.25::DOUBLE WHEN 'unexpected' THEN -0.15::DOUBLE WHEN 'cancel' THEN -0.15::DOUBLE ELSE 0::DOUBLE END ORDER BY event_id)),
+  lambda m, d: CASE WHEN d > 0 THEN least(m + d, 3.0::DOUBLE) WHEN d < 0 THEN greatest(m + d, 1.0::DOUBLE) ELSE m END), 3) AS multiplier FROM ({_FEEDBACK}) GROUP BY 1"""
+
+
+def _feedback(spark, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("purchase", "view", "click"), "expected").when(F.col("event_type") == "error", "unexpected").when(F.col("event_type") == "signup", "cancel")
+    return table(spark, sf_dir, "events").select("user_id", kind.otherwise("remind_later").alias("feedback"), F.col("event_id").alias("seq"))
+
+
+@query(_TOLERANCE)
+def feedback_multiplier(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators.feedback import tolerances
+
+    return tolerances(_feedback(spark, sf_dir), "user_id")
+
+
+@query(
+    _tiers(EVENTS) + f", a AS ({_ALERTS}), m AS ({_TOLERANCE}), j AS (SELECT a.*, m.multiplier, m.multiplier > 1 AS up FROM a JOIN m ON m.user_id = split_part(a.service, '/', 1)::BIGINT) "
+    "SELECT transaction_id, CASE WHEN up THEN round((outlier_score / multiplier)::DECIMAL(18, 9), 3)::DOUBLE ELSE outlier_score END AS outlier_score, up AS feedback_adjusted, "
+    "CASE WHEN NOT up THEN severity WHEN outlier_score / multiplier >= 0.85 THEN 'high' WHEN outlier_score / multiplier >= 0.65 THEN 'warning' WHEN outlier_score / multiplier >= 0.4 THEN 'low' ELSE 'none' END AS severity FROM j"
+)
+def feedback_adjust(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators.feedback import adjusted
+
+    found = detection.alerts(event_charges(spark, sf_dir), KEYS).withColumn("user_id", F.substring_index("service", "/", 1).cast("bigint"))
+    return adjusted(found, _feedback(spark, sf_dir), "user_id").select("transaction_id", "outlier_score", "feedback_adjusted", "severity")
+
+
+_ALIASES = "(VALUES " + ", ".join(f"({k}, '{a}')" for k, (_, _, aliases) in enumerate(fixed.SEEDS) for a in aliases) + ") v(service_ord, alias)"
+
+
+@query(f"SELECT p_partkey, min(service_ord) AS service_ord FROM (SELECT p_partkey, (ARRAY['netflix', 'pg e', 'office 365', 'state farm', 'nobody'])[p_size % 5 + 1] AS cleaned FROM part) JOIN {_ALIASES} ON alias = cleaned GROUP BY 1")
+def alias_exact_join(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators import registry, resolution
+
+    name = F.get(F.array(*[F.lit(x) for x in ("netflix", "pg e", "office 365", "state farm", "nobody")]), F.col("p_size") % 5)
+    parts = table(spark, sf_dir, "part").select("p_partkey", name.alias("cleaned"))
+    return resolution.exact(parts, registry.seeds(spark)).select("p_partkey", "service_ord")
+
+
+@query(
+    "SELECT o_custkey, count(*) AS n, min(o_orderdate)::DATE AS first_seen, max(o_orderdate)::DATE AS last_seen FROM orders GROUP BY 1"
+)
+def registry_bump(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators import registry
+
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("service_ord"), F.col("c_custkey").cast("string").alias("canonical_name"), F.lit("general").alias("category"), F.array().cast("array<string>").alias("aliases"))
+    services = registry.registered(customers)
+    sightings = table(spark, sf_dir, "orders").select(registry.service_id(F.col("o_custkey").cast("string")).alias("service_id"), F.to_date("o_orderdate").alias("date"))
+    return registry.seen(services, sightings).filter("transaction_count > 0").select(F.col("service_ord").alias("o_custkey"), F.col("transaction_count").alias("n"), "first_seen", "last_seen")
+
+
+@query("SELECT c_nationkey * 2 AS service_ord, count(*) AS aliases, sum(c_custkey) AS n FROM customer GROUP BY 1")
+def registry_merge(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators import registry
+
+    customer = table(spark, sf_dir, "customer").withColumn("k", F.col("c_nationkey") * 2 + F.col("c_custkey") % 2)
+    rows = customer.groupBy("k").agg(F.collect_list(F.lower("c_name")).alias("aliases"), F.sum("c_custkey").alias("n"))
+    services = registry.registered(rows.select(F.col("k").alias("service_ord"), F.col("k").cast("string").alias("canonical_name"), F.lit("general").alias("category"), "aliases"))
+    services = services.join(rows.select(F.col("k").alias("service_ord"), "n"), "service_ord").withColumn("transaction_count", F.col("n")).drop("n").select(services.columns)
+    pairs = spark.range(25).select(registry.service_id((F.col("id") * 2).cast("string")).alias("keep"), registry.service_id((F.col("id") * 2 + 1).cast("string")).alias("drop"))
+    return registry.merged(services, pairs).select("service_ord", F.size("aliases").cast("bigint").alias("aliases"), F.col("transaction_count").alias("n"))
+
+
+@query("SELECT canonical_name, coalesce(m.source, 'manual') AS source FROM (VALUES " + ", ".join(f"('{s[0]}')" for s in fixed.SEEDS) + ") s(canonical_name) LEFT JOIN (VALUES ('Netflix', 'auto'), ('Hulu', 'auto')) m(name, source) ON m.name = canonical_name")
+def registry_seed(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators import registry
+
+    known = spark.createDataFrame([(0, "Netflix", "streaming", ["netflix"]), (1, "Hulu", "streaming", ["hulu"])], "service_ord long, canonical_name string, category string, aliases array<string>")
+    return registry.with_missing_seeds(registry.registered(known)).select("canonical_name", "source")
+
+
+@query(
+    "WITH s AS (SELECT s_suppkey::INT AS num, s_name AS provider FROM supplier WHERE s_suppkey <= 50), n AS (SELECT s_name AS provider FROM supplier WHERE s_suppkey > 40) "
+    "SELECT num, provider FROM s UNION ALL SELECT (50 + row_number() OVER (ORDER BY lower(replace(provider, '#', ' #'))))::INT, provider FROM n WHERE provider NOT IN (SELECT provider FROM s)"
+)
+def guide_upsert(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators.registry import upserted
+
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("#"), F.translate("s_name", "#0123456789", " abcdefghij").alias("Provider"), "s_name")
+    done = upserted(supplier.filter("`#` <= 50"), supplier.filter("`#` > 40").drop("#"))
+    return done.select(F.col("#").alias("num"), F.col("s_name").alias("provider"))
+
+
+@query()
+def tfidf_char_wb(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.functions.similarity import tfidf
+
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    return tfidf(names, "p_name", "p_name").select("p_name", "gram", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def connected_clusters(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators.resolution import clustered
+
+    return clustered(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")))
+
+
+@query()
+def similarity_top3(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators import registry, resolution
+
+    names = table(spark, sf_dir, "part").select(text.cleaned(F.col("p_name")).alias("cleaned")).distinct()
+    return resolution.candidates(names, registry.seeds(spark))
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT p_name, {_clean_sql('p_name')} AS c FROM part), a AS (SELECT service_ord, alias, {_clean_sql('alias')} AS a FROM {_ALIASES}),
+s AS (SELECT p_name, alias, CASE WHEN c = a THEN 1.0 WHEN contains(c, a) THEN 0.92 WHEN contains(a, c) THEN 0.86 WHEN len(list_filter(string_split(a, ' '), lambda w: NOT list_contains(string_split(c, ' '), w))) = 0 THEN 0.82 ELSE 0 END AS score FROM n, a WHERE c <> '' AND a <> '')
+SELECT p_name, alias, score::DOUBLE AS score FROM s WHERE score > 0"""
+)
+def guide_match_score(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators import guidance, registry
+
+    guides = registry.seeds(spark).select(F.lit(1).alias("priority"), F.col("service_ord").alias("ord"), "aliases")
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
+    return guidance.matches(names, guides).select(F.col("name").alias("p_name"), "alias", "score")
+
+
+@query()
+def guide_best(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators import guidance
+
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lit("general").alias("category")).distinct()
+    return guidance.guide(names, guidance.built_in(spark))
+
+
+@query(
+    "SELECT page_id, 'https://www.google.com/search?q=' || replace(replace(replace(url_encode(url || ' official cancel subscription'), '%20', '+'), '*', '%2A'), '%7E', '~') AS search_url, "
+    r"rtrim(regexp_extract(html, 'https?://[^\s)>\]]+'), '.,;') AS first_url, CASE WHEN regexp_matches(trim(url), '^https?://') THEN trim(url) WHEN contains(url, '.') THEN 'https://' || trim(url) ELSE '' END AS site_url FROM pages"
+)
+def guide_links(spark, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", text.search_url(F.col("url")).alias("search_url"), text.first_url(F.col("html")).alias("first_url"), text.site_url(F.col("url")).alias("site_url"))
+
+
+@query()
+def html_text(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.sources.receipts import html_text as visible
+
+    return table(spark, sf_dir, "pages").select("page_id", visible(F.col("html")).alias("text"))
+
+
+@query()
+def action_links(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.sources.receipts import action_links as links
+
+    return table(spark, sf_dir, "pages").select("page_id", links(F.col("html")).alias("links"))
+
+
+@query(
+    "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most, min(o_totalprice) AS least, round(median(o_totalprice), 4) AS median, round(avg(o_totalprice), 2) AS mean, round(stddev_pop(o_totalprice), 2) AS std, "
+    "round(any_value(last), 2) AS last, round(coalesce(regr_slope(o_totalprice, -k) FILTER (k <= 6), 0) / median(o_totalprice), 6) AS slope "
+    "FROM (SELECT *, first_value(o_totalprice) OVER w AS last, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC)) GROUP BY 1"
+)
+def features_14(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators.prediction import features
+
+    df = features(order_charges(spark, sf_dir), ["service"])
+    r = lambda c, n: F.round(c, n).alias(c)
+    return df.select(F.col("service").cast("bigint").alias("o_custkey"), "n", "most", "least", r("median", 4), r("mean", 2), r("std", 2), r("last", 2), r("slope", 6))
+
+
+@query()
+def ml_predict(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators.prediction import AmountModel, features
+
+    return AmountModel(spark, n=600, trees=20).predict(features(order_charges(spark, sf_dir), ["service"]))
+
+
+@query(
+    "WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'expected' WHEN event_id % 3 = 1 THEN 'unexpected' ELSE NULL END AS b, CASE WHEN event_id % 5 = 0 THEN 'x' END AS a FROM events) "
+    "SELECT event_id, coalesce(b, '—') AS before, coalesce(a, 'suppressed') AS after FROM t WHERE a IS NOT NULL OR b IS NOT NULL"
+)
+def before_after(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.plans.report import compared
+
+    events = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("date"), F.col("event_id").alias("seq"))
+    before = events.filter("event_id % 3 <> 2").withColumn("severity", F.when(F.col("event_id") % 3 == 0, "expected").otherwise("unexpected"))
+    return compared(before, events.filter("event_id % 5 = 0").withColumn("severity", F.lit("x")), "event_id")
+
+
+@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+def json_roundtrip(spark, sf_dir: str) -> DataFrame:
+    read = F.from_json(F.to_json(F.from_json("props", "k bigint")), "k bigint")
+    return table(spark, sf_dir, "events").select("event_id", read["k"].alias("k"))
+
+
+
+
+@query()
+def money_extract(spark, sf_dir: str) -> DataFrame:
+    price = F.col("o_totalprice")
+    written = F.format_string("Subtotal $%.2f\nTax $1.05\nTotal charged $%.2f", price / 2, price)
+    found = F.regexp_extract_all(written, F.lit(r"(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}"), F.lit(0))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.transform(found, lambda x: x.cast("double")).alias("amounts"))
+
+
