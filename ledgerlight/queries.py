@@ -425,7 +425,7 @@ def action_links(spark, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most, min(o_totalprice) AS least, round(median(o_totalprice), 4) AS median, round(avg(o_totalprice), 2) AS mean, round(stddev_pop(o_totalprice), 2) AS std, "
+    "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most, min(o_totalprice) AS least, round(median(o_totalprice), 6) AS median, round(avg(o_totalprice), 7) AS mean, round(stddev_pop(o_totalprice), 5) AS std, "
     "round(any_value(last), 2) AS last, round(coalesce(regr_slope(o_totalprice, -k) FILTER (k <= 6), 0) / median(o_totalprice), 6) AS slope "
     "FROM (SELECT *, first_value(o_totalprice) OVER w AS last, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC)) GROUP BY 1"
 )
@@ -434,7 +434,7 @@ def features_14(spark, sf_dir: str) -> DataFrame:
 
     df = features(order_charges(spark, sf_dir), ["service"])
     r = lambda c, n: F.round(c, n).alias(c)
-    return df.select(F.col("service").cast("bigint").alias("o_custkey"), "n", "most", "least", r("median", 4), r("mean", 2), r("std", 2), r("last", 2), r("slope", 6))
+    return df.select(F.col("service").cast("bigint").alias("o_custkey"), "n", "most", "least", r("median", 6), r("mean", 7), r("std", 5), r("last", 2), r("slope", 6))
 
 
 @query()
