@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerlight.functions import fixed
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(names: pd.Series) -> pd.Series:
     return names.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
 
@@ -34,6 +35,7 @@ def _stripped(name: Column) -> Column:
     out = F.lower(name)
     for pattern in fixed.STRIP:
         out = F.regexp_replace(out, "(?iU)" + pattern, " ")
+    out = F.regexp_replace(out, r"\p{M}", " ")  # the marks that decomposing leaves are no letters
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     out = F.regexp_replace(out, fixed.DOMAIN_ENDINGS, " ")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
