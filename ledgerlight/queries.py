@@ -426,7 +426,7 @@ def action_links(spark, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most, min(o_totalprice) AS least, round(median(o_totalprice), 6) AS median, round(avg(o_totalprice), 7) AS mean, round(stddev_pop(o_totalprice), 5) AS std, "
-    "round(any_value(last), 2) AS last, round(coalesce(regr_slope(o_totalprice, -k) FILTER (k <= 6), 0) / median(o_totalprice), 6) AS slope "
+    "round(any_value(last), 2) AS last, round(CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(o_totalprice, -k) FILTER (k <= 6) END / median(o_totalprice), 6) AS slope "
     "FROM (SELECT *, first_value(o_totalprice) OVER w AS last, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC)) GROUP BY 1"
 )
 def features_14(spark, sf_dir: str) -> DataFrame:
@@ -472,3 +472,62 @@ def money_extract(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.transform(found, lambda x: x.cast("double")).alias("amounts"))
 
 
+
+
+_REASON_LIST = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.CATEGORY_REASONS.items()) + f" ELSE {fixed.OTHER_REASONS} END"
+_CHECK_LIST = "CASE category " + " ".join(f"WHEN '{r[0]}' THEN {[fixed.CHECK_REASONS[c] for c in r[6]]}" for r in fixed.RULES if r[6]) + " ELSE []::VARCHAR[] END"
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey, p_size, {_KEYWORD_SQL.replace('%s', 'p_name')} AS category FROM part), b AS (SELECT *, {_REASON_LIST} AS base, {_CHECK_LIST} AS more FROM c)
+SELECT p_partkey, array_to_string(list_concat(CASE WHEN p_size >= 25 THEN ['{fixed.DOUBLED_REASON}'] ELSE []::VARCHAR[] END, list_concat(base, list_filter(more, lambda x: NOT list_contains(base, x)))), '; ') AS reasons FROM b"""
+)
+def reasons(spark, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", text.keyword_category(F.col("p_name")).alias("category"))
+    df = parts.join(F.broadcast(detection.rules(spark)), "category")
+    return df.select("p_partkey", F.concat_ws("; ", detection.reasons(F.col("p_size") / 25, F.col("category"), F.col("extra_checks"))).alias("reasons"))
+
+
+_RAW = "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE 'payee ' || o_custkey END AS payee, CASE WHEN o_orderkey % 5 = 0 THEN 'free' WHEN o_orderkey % 5 = 1 THEN '' ELSE '7.25' END AS charge, CASE WHEN o_orderkey % 3 = 0 THEN 'soon' ELSE '2024-01-31' END AS posted_date FROM orders"
+
+
+@query(
+    f"""SELECT seq AS row_no, 'Row ' || seq || ': ' || CASE WHEN trim(payee) = '' THEN 'missing merchant (merchant_raw / merchant / description)' WHEN charge = '' THEN 'empty amount'
+WHEN charge = 'free' THEN 'could not convert string to float: free' ELSE 'unrecognized date format: soon' END AS error FROM ({_RAW}) WHERE trim(payee) = '' OR charge <> '7.25' OR posted_date = 'soon'"""
+)
+def parse_rejects(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.sources import ingest
+
+    k = F.col("o_orderkey")
+    raw = table(spark, sf_dir, "orders").select(
+        k.alias("seq"), F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("payee "), F.col("o_custkey").cast("string"))).alias("Payee"),
+        F.when(k % 5 == 0, "free").when(k % 5 == 1, "").otherwise("7.25").alias("Charge"), F.when(k % 3 == 0, "soon").otherwise("2024-01-31").alias("Posted-Date"),
+    )
+    return ingest.typed(raw)[1]
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS amount, 'Canva' AS merchant FROM orders WHERE o_orderkey <= 2000")
+def best_amount(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.sources.receipts import pasted
+
+    price = F.col("o_totalprice")
+    orders = table(spark, sf_dir, "orders").filter("o_orderkey <= 2000")
+    texts = orders.select(F.col("o_orderkey").cast("string").alias("path"), F.lit("Your Canva receipt").alias("subject"), F.lit("").alias("sender"), F.format_string("Subtotal $%.2f\nTax $1.05\nTotal charged $%,.2f", price / 2, price).alias("body"))
+    return pasted(texts).select(F.col("path").cast("bigint").alias("o_orderkey"), "amount", F.col("merchant_raw").alias("merchant"))
+
+
+@query()
+def resolve_names(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators import registry, resolution
+
+    txns = _names(spark, sf_dir).select(F.col("raw").alias("merchant_raw"), F.lit("2024-01-01").cast("date").alias("date"), F.lit(None).cast("string").alias("category_mcc"), F.col("id").alias("seq"))
+    return resolution.resolved(txns, registry.seeds(spark))[0].select("seq", "merchant_raw", "cleaned", "canonical_name", "service_category", "method", "confidence")
+
+
+@query()
+def receipts_from_pages(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.sources.receipts import receipts
+
+    head = F.concat(F.lit("From: Shop <mail@shop.example>\nSubject: Your Canva receipt\nContent-Type: text/html; charset=\"utf-8\"\n\n<p>Total charged $"), F.format_string("%d.50", F.col("page_id") + 1), F.lit("</p>"))
+    mails = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.concat(head, F.coalesce("html", F.lit(""))).cast("binary").alias("content"))
+    return receipts(mails)
