@@ -292,9 +292,10 @@ def component_ids(prints: DataFrame, found: DataFrame, key: str = "fp") -> DataF
     """``prints`` with component_id: the least doc_id reachable over the links."""
     roots = components(found)
     least = prints.groupBy(key).agg(F.min("doc_id").alias("least"))
-    rooted = least.join(roots, least[key] == roots["node"], "left").select(key, "least", F.coalesce("root", key).alias("root"))
-    # a component is known by the least doc_id of all its fingerprints
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = common.checkpoint(least.join(roots, least[key] == roots["node"], "left").select(key, "least", F.coalesce("root", key).alias("root")))
+    # a component is known by the least doc_id of all its fingerprints; written first, so that
+    # the join reads two exchanges and a large component can be split over tasks
+    named = common.checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return prints.join(rooted.join(named, "root").select(key, "component_id"), key, "left")
 
 
