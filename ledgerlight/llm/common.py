@@ -62,6 +62,15 @@ def fenced(df: DataFrame, *names: str) -> DataFrame:
     return both.select(*rest, *[F.col(f"b_fence.{c}").alias(c) for c in names])
 
 
+#: Rows of a table that may be broadcast after they have been counted.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if it has few rows; else it is joined as any other."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with reliable copies in the folder of ``spark.checkpoint.dir``.
 

@@ -65,7 +65,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 def streams(docs: DataFrame, per: DataFrame, keep: dict[str, Column]) -> DataFrame:
     """The columns asked for, with sid, source_size, target, size and start: the place of the document's first word in its source."""
     df = docs.select(*[c.alias(k) for k, c in keep.items()], F.col("source").alias("m_source"), sizes_of(F.col("text")).alias("size"), F.col("doc_id").alias("m_id"))
-    df = df.join(per.withColumnRenamed("source", "p_source"), F.col("m_source").eqNullSafe(F.col("p_source"))).drop("m_source", "p_source")
+    df = df.join(common.small(per.withColumnRenamed("source", "p_source")), F.col("m_source").eqNullSafe(F.col("p_source"))).drop("m_source", "p_source")
     bits = max(1, (max(1, docs.count()) // DOC_CHUNK).bit_length())
     df = df.withColumn("h", F.xxhash64(F.lit(SEED), "m_id", "size")).withColumn("chunk", F.shiftrightunsigned("h", 64 - bits))
     chunks = df.groupBy("sid", "chunk").agg(F.sum("size").alias("in_chunk"))
@@ -102,7 +102,7 @@ def schedule(per: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def pieces(rows: DataFrame, slots: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """``rows`` of :func:`streams` joined with their slots: sid, start, slot and the words [from_word, to_word) taken of the document."""
-    per = slots.groupBy("sid").agg(F.max("slots").alias("slots"), F.max("words").alias("words"))
+    per = common.small(common.checkpoint(slots.groupBy("sid").agg(F.max("slots").alias("slots"), F.max("words").alias("words"))))
     df = rows.filter("size > 0").select("sid", "start", "size", "source_size").join(per, "sid").withColumn("block", F.ceil(F.col("words") / F.col("slots")))
     # the passes that reach the document: those that begin before the last word to take
     last = F.least(F.lit(epochs - 1), F.floor((F.col("words") - 1 - F.col("start")) / F.col("source_size"))).cast("int")
