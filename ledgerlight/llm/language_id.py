@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import common
@@ -28,6 +28,8 @@ BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 #: Documents of each language in the training sample at most, those with the least hash; and languages at most, the most frequent.
 SAMPLE, LANGUAGES = 400, 256
+#: Hashes of texts are compared within this range.
+SPAN = 1 << 31
 #: Every so many-th document of the sample fits the temperature instead of the weights.
 CALIBRATION = 5
 EPOCHS = 6
@@ -157,17 +159,16 @@ def fitted(training: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nda
     if found:
         seen[list(found)] = list(found.values())
     idf = np.log((1 + texts) / (1 + seen)) + 1
-    frequent = [r.lang for r in training.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
-    parts = []
-    for lang in frequent:  # a top-k of bounded size for each language: no language's rows meet in one task
-        parts.append(training.filter(F.col("lang") == lang).orderBy("h").limit(sample))
-    if not parts:
+    frequent = [(r.lang, r["count"]) for r in training.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
+    if not frequent:
         return [], np.zeros((BUCKETS, 1)), idf, 1.0
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.union(p)
+    # Texts under a cut of their hash, four times the sample in expectation, so that one pass
+    # finds the sample and no language's rows meet in one task; copies of a text count once.
+    cuts = F.create_map(*[F.lit(x) for lang, n in frequent for x in (lang, min(SPAN, -(-SPAN * 4 * sample // n)))])
+    few = training.filter(F.pmod("h", F.lit(SPAN)) < F.try_element_at(cuts, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SPAN)), "h"))).filter(F.col("k") <= sample).drop("k")
     docs = chosen.mapInArrow(_Features(), "lang string, h bigint, buckets binary, counts binary").collect()
-    names = sorted(frequent)
+    names = sorted(lang for lang, _ in frequent)
     place = {n: k for k, n in enumerate(names)}
     known = []
     for r in sorted(docs, key=lambda r: (r.h, r.lang)):
