@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,10 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
 
 
 class _Contexts:
-    """doc_id, h, text to the contexts of the text: doc_id, h, fp, c1, c2, start, n, lead."""
+    """doc_id, h, text to the contexts of the text: doc_id, h, fp, ctx and where (start, n and lead in one number).
+
+    A context is known by the hashes of its anchor and of itself, 128 bits together.
+    """
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +104,7 @@ class _Contexts:
                 if found is not None:
                     row, columns = found
                     rows = pa.array(row + at)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("h").take(rows), *columns], ["doc_id", "h", "fp", "c1", "c2", "start", "n", "lead"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("h").take(rows), *columns], ["doc_id", "h", "fp", "ctx", "at"])
                 at = end
 
     def contexts(self, texts: list[bytes]):
@@ -122,10 +126,10 @@ class _Contexts:
         stop = np.append(breaks[1:], len(place))[np.searchsorted(breaks, starts)]
         stop = np.minimum(stop, ends[owner[starts]] - LENGTH + 1)
         view = memoryview(joined)
-        digests = b"".join(xxhash.xxh3_128_digest(view[s : e + LENGTH - 1]) for s, e in zip(starts.tolist(), stop.tolist(), strict=True))
-        both = np.frombuffer(digests, np.int64).reshape(-1, 2)
+        digests = np.fromiter((xxhash.xxh3_64_intdigest(view[s : e + LENGTH - 1]) for s, e in zip(starts.tolist(), stop.tolist(), strict=True)), np.uint64, len(starts))
         begin = np.append(0, ends[:-1])
-        columns = [hashes[place[starts]].view(np.int64), both[:, 0], both[:, 1], (starts - begin[owner[starts]]).astype(np.int32), (stop - starts).astype(np.int32), (place[starts] - starts).astype(np.int32)]
+        at = ((starts - begin[owner[starts]]) << 16) | ((stop - starts) << 8) | (place[starts] - starts)
+        columns = [hashes[place[starts]].view(np.int64), digests.view(np.int64), at.astype(np.int64)]
         return owner[starts], [pa.array(c) for c in columns]
 
 
@@ -205,7 +209,9 @@ class _Index:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("fp", "c1", "c2", "times", "n", "lead", "context")), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in ("fp", "ctx", "times", "n", "lead", "context")), strict=True):
+                if rows and row[:2] == rows[-1][:2]:
+                    continue  # the same context of a repeated row
                 if held >= COLLECTION and row[0] != rows[-1][0]:
                     yield self.runs(rows)
                     rows, held = [], 0
@@ -215,23 +221,46 @@ class _Index:
             yield self.runs(rows)
 
     def runs(self, rows: list[tuple]) -> pa.RecordBatch:
-        fp, c1, c2, times, own, lead, contexts = zip(*rows, strict=True)
+        fp, ctx, times, own, lead, contexts = zip(*rows, strict=True)
         row, begin, length = runs_of(repeated_starts(list(contexts), np.array(lead), np.array(own), np.array(times)))
-        columns = [np.array(c, np.int64)[row] for c in (fp, c1, c2)] + [begin.astype(np.int32), length.astype(np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "c1", "c2", "off", "len"])
+        columns = [np.array(c, np.int64)[row] for c in (fp, ctx)] + [begin.astype(np.int32), length.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "ctx", "off", "len"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed before they are dealt: they are most of what moves."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = [press.compress((t.as_py() or "").encode()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(texts, pa.binary())], ["doc_id", "h", "z"])
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """z and wanted (contexts of the text) to the contexts' bytes."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for k in range(batch.num_rows):
+            data = press.decompress(batch.column("z")[k].as_py())
+            wanted = batch.column("wanted")[k].values
+            at = wanted.field("at").to_numpy()
+            start, own = (at >> 16).tolist(), (at >> 8 & 255).astype(np.int32)
+            pieces = [data[a : a + n + LENGTH - 1] for a, n in zip(start, own.tolist(), strict=True)]
+            columns = [wanted.field("fp"), wanted.field("ctx"), wanted.field("times"), pa.array(own), pa.array((at & 255).astype(np.int32)), wanted.field("crowd"), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["fp", "ctx", "times", "n", "lead", "crowd", "context"])
 
 
 class _Remove:
-    """doc_id, text and spans (start, strings) to what is left of the text."""
+    """doc_id, z and spans (start, strings) to what is left of the text."""
 
     def __init__(self, text: bool):
         self.text = text
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                rows = [self.row((t or "").encode(), s) for t, s in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True)]
+                rows = [self.row(press.decompress(z), s) for z, s in zip(part.column("z").to_pylist(), part.column("spans").to_pylist(), strict=True)]
                 kept, *counts = zip(*rows, strict=True)
                 columns = [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts)]
                 columns.append(pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()))
@@ -259,32 +288,35 @@ def cleaned(docs: DataFrame, keep_text: bool = False, crowd: int = CROWD) -> Dat
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the remaining bytes of every whole text."""
     df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     df = df.withColumn("h", F.xxhash64("doc_id", "text"))
-    schema = "doc_id bigint, h bigint, fp bigint, c1 bigint, c2 bigint, start int, n int, lead int"
-    contexts = df.mapInArrow(_Contexts(), schema)
-    groups = contexts.groupBy("fp").agg(F.count("*").alias("members"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("c1", "c2")])
-    groups = groups.filter("members > 1").select("fp", ((F.col("min_c1") == F.col("max_c1")) & (F.col("min_c2") == F.col("max_c2"))).alias("same"))
+    contexts = df.mapInArrow(_Contexts(), "doc_id bigint, h bigint, fp bigint, ctx bigint, at bigint")
+    groups = contexts.groupBy("fp").agg(F.count("*").alias("members"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
+    # written first, so that the join reads two exchanges and a group of many members can be split over tasks
+    groups = common.checkpoint(groups.filter("members > 1").select("fp", (F.col("low") == F.col("high")).alias("same")))
     members = common.checkpoint(contexts.join(groups, "fp"))
+    start, own = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(F.lit(255)).cast("int")
     # groups of equal contexts
-    sure = members.filter("same").select("doc_id", "h", F.col("start").alias("s"), F.col("n").alias("len"))
+    sure = members.filter("same").select("doc_id", "h", start.alias("s"), own.alias("len"))
     # the others: distinct contexts, with their number and one place to read them from
     mixed = members.filter("NOT same")
-    key = ["fp", "c1", "c2"]
-    distinct = mixed.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "h", "start", "n", "lead")).alias("at"))
+    key = ["fp", "ctx"]
+    distinct = mixed.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "h", "at")).alias("one"))
     crowds = distinct.groupBy("fp").agg(F.count("*").alias("variants")).filter(F.col("variants") > crowd)
-    distinct = distinct.join(crowds, "fp", "left").select(*key, "times", "at.n", "at.lead", "at.start", F.col("at.doc_id").alias("a_id"), F.col("at.h").alias("a_h"), F.col("variants").isNotNull().alias("crowd"))
-    slice_of = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("n") + (LENGTH - 1))
-    texts = distinct.join(df, F.col("a_id").eqNullSafe(F.col("doc_id")) & (F.col("a_h") == F.col("h"))).select(*key, "times", "n", "lead", "crowd", slice_of.alias("context"))
-    texts = common.checkpoint(texts.dropDuplicates(key))
-    indexed = texts.filter("NOT crowd").drop("crowd").repartition("fp").sortWithinPartitions("fp", "c1", "c2").mapInArrow(_Index(), "fp bigint, c1 bigint, c2 bigint, off int, len int")
-    single = texts.filter("crowd").select(*key, "times", "context", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("off"))
+    distinct = distinct.join(crowds, "fp", "left").select(*key, "times", "one.at", F.col("one.doc_id").alias("a_id"), F.col("one.h").alias("a_h"), F.col("variants").isNotNull().alias("crowd"))
+    # the texts, dealt once for the contexts and for the result
+    packed = df.mapInArrow(_packed, "doc_id bigint, h bigint, z binary")
+    wanted = distinct.groupBy("a_id", "a_h").agg(F.collect_list(F.struct("fp", "ctx", "times", "at", "crowd")).alias("wanted"))
+    texts = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("h") == F.col("a_h"))).select("z", "wanted")
+    texts = texts.mapInArrow(_sliced, "fp bigint, ctx bigint, times bigint, n int, lead int, crowd boolean, context binary")
+    indexed = texts.filter("NOT crowd").drop("crowd").repartition("fp").sortWithinPartitions("fp", "ctx").mapInArrow(_Index(), "fp bigint, ctx bigint, off int, len int")
+    single = texts.filter("crowd").dropDuplicates(key).select(*key, "times", "context", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)).alias("off"))
     string = F.substring(F.col("context"), F.col("off") + 1, F.lit(LENGTH))
     single = single.select(*key, "times", "off", F.xxhash64(string).alias("s1"), F.xxhash64(F.lit(1), string).alias("s2"))
     again = single.groupBy("s1", "s2").agg(F.sum("times").alias("n")).filter("n > 1").select("s1", "s2")
     crowded = single.join(again, ["s1", "s2"]).select(*key, "off", F.lit(1).alias("len"))
-    found = mixed.join(indexed.union(crowded), key).select("doc_id", "h", (F.col("start") + F.col("off")).alias("s"), "len")
+    found = mixed.join(indexed.union(crowded), key).select("doc_id", "h", (start + F.col("off")).alias("s"), "len")
     spans = sure.union(found).groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "len")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "spans")
-    joined = df.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left").select("doc_id", "text", "spans")
+    joined = packed.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left").select("doc_id", "z", "spans")
     return joined.mapInArrow(_Remove(keep_text), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep_text)
 
 
