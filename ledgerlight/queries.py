@@ -511,7 +511,7 @@ def best_amount(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.sources.receipts import pasted
 
     price = F.col("o_totalprice")
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey <= 2000")
+    orders = table(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism)  # the file is small, the parsing is not
     texts = orders.select(F.col("o_orderkey").cast("string").alias("path"), F.lit("Your Canva receipt").alias("subject"), F.lit("").alias("sender"), F.format_string("Subtotal $%.2f\nTax $1.05\nTotal charged $%,.2f", price / 2, price).alias("body"))
     return pasted(texts).select(F.col("path").cast("bigint").alias("o_orderkey"), "amount", F.col("merchant_raw").alias("merchant"))
 

@@ -77,3 +77,11 @@ def test_registry_round_trip(spark, tmp_path):
     sinks.write_registry(registry.seeds(spark), path, 1)
     sinks.write_registry(registry.seeds(spark).limit(3), path, 2)
     assert sinks.read_registry(spark, path).count() == 3
+
+
+def test_best_amount_reads_all_orders(spark, tmp_path):
+    from ledgerlight.queries import best_amount
+
+    rows = [(k, 1234.5 + k) for k in (1, 2000, 2001, 150_000, 9_000_000_000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    assert sorted(map(tuple, best_amount(spark, str(tmp_path)).collect())) == [(k, x, "Canva") for k, x in rows]
