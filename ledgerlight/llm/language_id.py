@@ -159,12 +159,14 @@ def fitted(training: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nda
     if found:
         seen[list(found)] = list(found.values())
     idf = np.log((1 + texts) / (1 + seen)) + 1
-    frequent = [(r.lang, r["count"]) for r in training.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()]
+    counted = training.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
+    frequent = [(r.lang, r.texts) for r in counted.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()]
     if not frequent:
         return [], np.zeros((BUCKETS, 1)), idf, 1.0
     # Texts under a cut of their hash, four times the sample in expectation, so that one pass
-    # finds the sample and no language's rows meet in one task; copies of a text count once.
-    cuts = F.create_map(*[F.lit(x) for lang, n in frequent for x in (lang, min(SPAN, -(-SPAN * 4 * sample // n)))])
+    # finds the sample and no language's rows meet in one task; copies of a text count once,
+    # in the sample and in the number that the cut comes from.
+    cuts = F.create_map(*[F.lit(x) for lang, n in frequent for x in (lang, min(SPAN, -(-SPAN * 4 * sample // max(n, 1))))])
     few = training.filter(F.pmod("h", F.lit(SPAN)) < F.try_element_at(cuts, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
     chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SPAN)), "h"))).filter(F.col("k") <= sample).drop("k")
     docs = chosen.mapInArrow(_Features(), "lang string, h bigint, buckets binary, counts binary").collect()

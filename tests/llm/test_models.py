@@ -86,6 +86,16 @@ def test_language_identification(spark):
     assert language_id.identified(df.limit(0)).count() == 0
 
 
+def test_language_sample_counts_copies_once(spark):
+    rnd = random.Random(12)
+    word = lambda letters: "".join(rnd.choice(letters + " ") for _ in range(200))
+    few, many = [word("efghij") for _ in range(10)], [word("abcd") for _ in range(100)]
+    rows = [(k, few[k % 10] if k % 2 else many[k // 2 % 100], "yy" if k % 2 else "xx") for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language_id.identified(df, sample=5).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+
+
 @pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="no vocabulary file here")
 def test_token_counts_equal_the_tokenizer(spark):
     import sentencepiece
