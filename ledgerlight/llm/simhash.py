@@ -35,9 +35,10 @@ RADIUS = 3
 PARTS = (13, 13, 13, 13, 12)
 #: Fingerprints that one block compares at once.
 CHUNK = 2048
-#: The stage: words in a shingle, fingerprint words of 64 bits, and differing bits.  A Jaccard
-#: similarity of 0.8 is a cosine of 0.889, at which 15.1 % of the bits differ, 78 of 512 with a deviation of 8.
-STAGE_SHINGLE, STAGE_WIDTH, STAGE_RADIUS = 5, 8, 92
+#: The stage: words in a shingle, fingerprint words of 64 bits, and differing bits of a candidate.  A Jaccard
+#: similarity of 0.8 is a cosine of 0.889, at which 15.1 % of the bits differ, 78 of 512 with a deviation of 8;
+#: the radius stands almost four deviations above, and candidates are held to the similarity itself.
+STAGE_SHINGLE, STAGE_WIDTH, STAGE_RADIUS, SIMILAR = 5, 8, 108, 0.8
 #: Bands of minima that deal wide fingerprints to blocks: at 0.8 all but 1 of 30,000 pairs share one.
 BANDS, ROWS = 20, 4
 
@@ -172,7 +173,7 @@ def pairs_near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 
 
 class _Fingerprint:
-    """doc_id, text (in Arrow batches) to doc_id, fp and, with bands, the keys of the blocks."""
+    """doc_id, text, h (in Arrow batches) to doc_id, fp and, with bands, the keys of the blocks and h; bands count each shingle once."""
 
     def __init__(self, shingle: int, width: int, bands: bool):
         self.shingle, self.width, self.bands = shingle, width, bands
@@ -182,13 +183,14 @@ class _Fingerprint:
             for at in range(0, batch.num_rows, 256):  # whole texts, a few at a time
                 part = batch.slice(at, 256)
                 runs = [shingle_hashes(t, self.shingle) for t in part.column("text").to_pylist()]
+                runs = list(map(np.unique, runs)) if self.bands else runs
                 sizes = np.fromiter(map(len, runs), np.int64, len(runs))
                 hashes = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
                 fps = np.stack([majorities(remixed(hashes, k), sizes) for k in range(self.width)], axis=1)
                 columns = [part.column("doc_id"), pa.array([f.tobytes() for f in fps], pa.binary())]
                 if self.bands:
-                    columns.append(pa.array(list(self.keys(hashes, sizes)), pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "keys"][: len(columns)])
+                    columns += [pa.array(list(self.keys(hashes, sizes)), pa.list_(pa.int64())), part.column("h")]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "keys", "h"][: len(columns)])
 
     def keys(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         out = np.zeros((len(sizes), BANDS), np.uint64)
@@ -204,9 +206,10 @@ class _Fingerprint:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, width: int = 1, bands: bool = False) -> DataFrame:
-    """``doc_id``, ``fp`` (little-endian bytes) and, with ``bands``, ``keys``; kept in the shared folder."""
-    schema = "doc_id bigint, fp binary" + ", keys array<bigint>" * bands
+    """``doc_id``, ``fp`` (little-endian bytes) and, with ``bands``, ``keys`` and ``h`` (of the text); kept in the shared folder."""
+    schema = "doc_id bigint, fp binary" + ", keys array<bigint>, h bigint" * bands
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = narrow.withColumn("h", F.xxhash64("text")) if bands else narrow
     return common.checkpoint(narrow.mapInArrow(_Fingerprint(shingle, width, bands), schema))
 
 
@@ -276,16 +279,103 @@ class _Links:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], ["a", "b"])
 
 
-def links(blocks: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """``blocks(block, fp)`` of distinct rows to links ``(a, b)`` between fingerprints within the radius."""
+def dealt(blocks: DataFrame, chunk: int) -> DataFrame:
+    """``blocks(block, fp, ...)`` as pairs of chunks: block, i, j, side and the rest, sorted; blocks of one row are left out."""
+    rest = [c for c in blocks.columns if c != "block"]
     sizes = blocks.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = blocks.join(sizes, "block").withColumn("c", F.ceil(F.col("n") / chunk).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+    df = blocks.join(sizes, "block").withColumn("c", F.ceil(F.col("n") / chunk).cast("int"))
+    df = df.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
     other = F.sequence(F.lit(0), F.col("c") - 1)
-    dealt = dealt.select("block", "fp", "own", F.explode_outer(other).alias("other"))
-    dealt = dealt.select("block", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"), (F.col("own") < F.col("other")).cast("int").alias("side"), "fp")
-    dealt = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "fp")
-    return dealt.mapInArrow(_Links(radius), "a binary, b binary").distinct()
+    df = df.select("block", *rest, "own", F.explode_outer(other).alias("other"))
+    df = df.select("block", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"), (F.col("own") < F.col("other")).cast("int").alias("side"), *rest)
+    return df.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "fp")
+
+
+def links(blocks: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """``blocks(block, fp)`` of distinct rows to links ``(a, b)`` between fingerprints within the radius."""
+    return dealt(blocks, chunk).mapInArrow(_Links(radius), "a binary, b binary").distinct()
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets (sorted arrays) is at least SIMILAR."""
+    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(text, STAGE_SHINGLE))
+
+
+class _Similar:
+    """Rows (a, b, text_a, text_b) to the pairs (a, b) whose texts are similar."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column("text_a"), batch.column("text_b"), strict=True)
+            good = [similar(shingle_set(x.as_py()), shingle_set(y.as_py())) for x, y in texts]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+class _SimilarLinks:
+    """Rows (block, i, j, side, fp, label, text) sorted by block, i, j, side to similar pairs of unlike labels, as many as connect them all."""
+
+    def __init__(self, radius: int):
+        self.radius = radius
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key = [], None
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if row[:3] != key:
+                    yield from self.close(group)
+                    group, key = [], row[:3]
+                group.append((*row[3:6], shingle_set(row[6])))
+        yield from self.close(group)
+
+    def close(self, group: list[tuple[int, bytes, bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        own = sum(not g[0] for g in group)
+        if own and len({g[2] for g in group}) > 1:
+            words = np.frombuffer(b"".join(g[1] for g in group), np.uint64).reshape(len(group), -1)
+            shift = own if own < len(group) else 0
+            label = np.unique([g[2].hex() for g in group], return_inverse=True)[1]
+            planes, found = bit_planes(words[shift:]), []
+            for at in range(0, own, 64):
+                hits = near(words[at : min(at + 64, own)], planes, len(group) - shift, self.radius)
+                for q in range(len(hits)):
+                    for k in np.flatnonzero(hits[q]) + shift:
+                        if label[k] != label[at + q] and similar(group[at + q][3], group[k][3]):
+                            label[label == label[k]] = label[at + q]
+                            found.append((group[at + q][1], group[k][1]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def confirmed(docs: DataFrame, prints: DataFrame, blocks: DataFrame, found: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Links ``(a, b)`` that connect what all similar pairs among the candidates connect.
+
+    ``found`` connects the candidates within the radius.  Each candidate's text
+    is first compared with that of the least of its component: where all are
+    similar, as among near copies, and in components of two, that decides.  The
+    other components are compared in their blocks once more, pair by pair with
+    their texts, less those pairs that are connected already.
+    """
+    roots = components(found)
+    stars = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    wanted = prints.join(roots.select(F.col("node").alias("fp")), "fp").groupBy("fp").agg(F.min("h").alias("h"))
+    wanted = common.checkpoint(wanted)
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = texts.join(common.small(wanted.select("h").distinct()), "h", "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    texts = common.checkpoint(wanted.join(texts, "h").select("fp", "text"))
+    of = lambda s: texts.select(F.col("fp").alias(s), F.col("text").alias(f"text_{s}"))
+    good = common.checkpoint(stars.join(of("b"), "b").join(of("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_Similar(), "a binary, b binary"))
+    sizes = stars.groupBy("b").agg(F.count("*").alias("n")).join(good.groupBy("b").agg(F.count("*").alias("good")), "b", "left")
+    open_roots = sizes.filter((F.col("n") > 1) & (F.coalesce("good", F.lit(0)) < F.col("n"))).select(F.col("b").alias("root"))
+    rest = roots.join(open_roots, "root").join(good.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left")
+    rest = common.checkpoint(rest.select(F.col("node").alias("fp"), F.coalesce("label", "node").alias("label")).join(texts, "fp"))
+    again = dealt(blocks.join(rest, "fp").select("block", "fp", "label", "text"), chunk).select("block", "i", "j", "side", "fp", "label", "text")
+    return good.union(again.mapInArrow(_SimilarLinks(radius), "a binary, b binary"))
 
 
 def component_ids(prints: DataFrame, found: DataFrame, key: str = "fp") -> DataFrame:
@@ -317,8 +407,10 @@ def reversed_bytes(name: str) -> Column:
 def deduplicated(docs: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
     """The documents less those that have a near copy of smaller doc_id in their group: one of each group stays.
 
-    Shingles of five words, 512 bits; a group is a component of the documents
-    whose fingerprints agree as those of a similarity of 0.8 do.  Rows that
+    A group is a component of the pairs whose sets of five-word shingles have a
+    Jaccard similarity of at least 0.8.  Minima and fingerprints of 512 bits
+    over the same sets propose the pairs; equal fingerprints are equal sets, as
+    at a similarity of 0.8 all 512 bits agree less than once in 10^30 pairs.  Rows that
     repeat a doc_id count as one document, of which one row stays; of rows
     without a doc_id all stay that have no copy with one, as do blank texts
     (a text without words is a copy of nothing).
@@ -326,7 +418,7 @@ def deduplicated(docs: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
     body = docs.filter(F.size(common.words(F.col("text"))) > 0)
     prints = fingerprints(body, STAGE_SHINGLE, STAGE_WIDTH, bands=True)
     blocks = prints.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode_outer("keys").alias("block"))
-    grouped = component_ids(prints.select("doc_id", "fp"), links(blocks, radius))
+    grouped = component_ids(prints.select("doc_id", "fp"), confirmed(body, prints, blocks, links(blocks, radius), radius))
     gone = grouped.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     df = common.packed(docs, doc_id=F.col("doc_id").cast("bigint"))
     kept = df.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")

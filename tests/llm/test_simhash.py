@@ -78,3 +78,42 @@ def test_stage_keeps_one_of_each_group(spark):
     out = simhash.deduplicated(df)
     assert out.columns == df.columns and rows_text
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "3", "6", "7", "None"]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def edited(rnd, text, n):
+    words = text.split()
+    for k in rnd.sample(range(0, len(words), 5), n):
+        words[k] = f"edit{rnd.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_stage_verdict_is_the_similarity(spark):
+    rnd = random.Random(5)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = []
+    for k in range(0, 40, 2):  # a line that repeats in one copy only
+        base, line = text(300), text(14)
+        rows += [(k, f"{base} {line}"), (k + 1, f"{base} {line}" + f" {line}" * 7)]
+        assert jaccard(rows[-1][1], rows[-2][1]) > 0.9
+    for k in range(100, 140, 2):  # distinct, but close
+        base = text(300)
+        rows += [(k, base), (k + 1, edited(rnd, base, 9))]
+        assert 0.7 < jaccard(rows[-1][1], rows[-2][1]) < 0.78
+    # over 24 in a block: copies, copies of a document that is close to them, and edits that are near to some only
+    base = text(300)
+    close = edited(rnd, base, 9)
+    crowd = [(1000 + k, edited(rnd, (base, close)[k % 2], k % 7)) for k in range(80)]
+    label = {k: k for k, _ in crowd}
+    for k, a in crowd:
+        for m, b in crowd:
+            if label[k] != label[m] and jaccard(a, b) >= 0.8:
+                low, high = sorted((label[k], label[m]))
+                label = {n: low if x == high else x for n, x in label.items()}
+    df = spark.createDataFrame(rows + crowd, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(df).collect()}
+    assert kept == set(range(0, 40, 2)) | set(range(100, 140)) | set(label.values()) and len(set(label.values())) > 1
