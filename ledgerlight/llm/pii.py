@@ -8,7 +8,8 @@ needs no table: equal values get equal pseudonyms in every document, and
 different values stay different.  The pseudonyms are valid again: check digits
 are recomputed, dates are dates.  E-mail names, e-mail domains and secrets have
 no numeric format; they get keyed digests, equal for equal values.  What fails
-its validation is ordinary text and stays.
+its validation is ordinary text and stays, but for a card or IBAN that a number or
+word beside it makes too long: such a run is parted where a shorter one is valid.
 
 Defined results: a null text stays null with 0 replacements; empty texts stay;
 repeated rows are treated alike; an empty table gives an empty result.
@@ -38,6 +39,13 @@ CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 KINDS = {"email": EMAIL, "secret": SECRET, "iban": IBAN, "address": ADDRESS, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
 
+#: What may be parted, groups of a card that stands in a longer run, and the mark between parts (private characters).
+LONG = r"[0-9](?:[ -]?[0-9]){13}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2}"
+GROUPS = r"^[0-9]{4,}(?:[ -][0-9]{3,})*$"
+MARK = "\ue0f1\ue0f2\ue0f3"
+#: A part may meet what follows it in another run, which is parted once more.
+PARTINGS = 2
+
 #: Days from 1900-01-01 that dates are permuted within: 270 * 270, up to 2099-08-04.
 DATE_SIDE = 270
 #: Social security numbers: areas 1 to 899 without 666, groups 1 to 99, serials 1 to 9999.
@@ -110,11 +118,36 @@ def modulo_97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: F.pmod(acc * F.when(c >= "A", 100).otherwise(10) + value(c), F.lit(97)))
 
 
+def valid_card(m: Column) -> Column:
+    return F.pmod(luhn(digits_of(m)), F.lit(10)) == 0
+
+
+def valid_iban(m: Column) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    return (modulo_97(F.concat(F.substring(plain, F.lit(5), F.length(plain) - 4), F.substring(plain, 1, 4))) == 1) & (F.length(plain) >= 15)
+
+
+def parted(m: Column) -> Column:
+    """A card or IBAN candidate that is not valid, with a mark after its longest valid beginning, or before its longest valid end (a card)."""
+    whole = lambda kind, x: x.rlike(f"^(?:{KINDS[kind]})$")
+    is_card = lambda x: F.when(x.rlike(GROUPS) & whole("card", x), valid_card(x)).otherwise(False)
+    is_iban = lambda x: F.when(whole("iban", x), valid_iban(x)).otherwise(False)
+    gap = lambda k: F.substring(m, k, F.lit(1)).isin(" ", "-")
+    places = F.sequence(F.lit(1), F.length(m))
+    head, tail = (lambda k: F.substring(m, F.lit(1), k - 1)), (lambda k: F.substring(m, k + 1, F.length(m)))
+    after = lambda good: F.array_max(F.filter(places, lambda k: F.when(gap(k), good(head(k))).otherwise(False)))
+    before = F.array_min(F.filter(places, lambda k: F.when(gap(k), is_card(tail(k))).otherwise(False)))
+    first = lambda k: F.concat(head(k), F.lit(MARK), F.substring(m, k, F.length(m)))
+    last = lambda k: F.concat(F.substring(m, F.lit(1), k), F.lit(MARK), tail(k))
+    as_card = F.coalesce(first(after(is_card)), last(before), m)
+    return F.when(whole("iban", m) & ~valid_iban(m), F.coalesce(first(after(is_iban)), m)).when(whole("card", m) & ~valid_card(m), as_card).otherwise(m)
+
+
 def card(key: str, m: Column) -> Column:
     digits = digits_of(m)
     payload = permuted_digits(key, "card", F.substring(digits, F.lit(1), F.length(digits) - 1))
     check = F.pmod(10 - F.pmod(luhn(F.concat(payload, F.lit("0"))), F.lit(10)), F.lit(10))
-    return F.when(F.pmod(luhn(digits), F.lit(10)) == 0, filled(m, F.concat(payload, check.cast("string"))))
+    return F.when(valid_card(m), filled(m, F.concat(payload, check.cast("string"))))
 
 
 def iban(key: str, m: Column) -> Column:
@@ -123,8 +156,7 @@ def iban(key: str, m: Column) -> Column:
     numbers = digits_of(body)
     changed = filled(body, F.when(F.length(numbers) >= 2, permuted_digits(key, "iban", numbers)).otherwise(numbers))
     check = F.lpad((98 - modulo_97(F.concat(changed, country, F.lit("00")))).cast("string"), 2, "0")
-    valid = modulo_97(F.concat(body, F.substring(plain, 1, 4))) == 1
-    return F.when(valid & (F.length(plain) >= 15), filled(m, digits_of(F.concat(check, changed))))
+    return F.when(valid_iban(m), filled(m, digits_of(F.concat(check, changed))))
 
 
 def ssn(key: str, m: Column) -> Column:
@@ -189,13 +221,19 @@ def pseudonymised(docs: DataFrame, key: str = KEY, count: str | None = "n_pii")
     The text between candidates is split off by the same pattern, so that both
     lists alternate and join to the whole text again.
     """
-    df = common.packed(docs, text=F.col("text"))
+    df = common.packed(docs, text=F.col("text"), plain=F.col("text"))
+    for _ in range(PARTINGS):
+        df = df.withColumn("runs", F.when(F.col("text").rlike(LONG), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+        df = df.withColumn("parts", F.when(F.size("runs") > 0, F.transform("runs", parted)))
+        marked = F.array_join(F.zip_with(F.split("text", ANY, -1), F.concat("parts", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        df = df.withColumn("text", F.when(F.col("parts") != F.col("runs"), marked).otherwise(F.col("text"))).drop("runs", "parts")
     # every candidate but an e-mail or a secret has a run of digits; both of those have "@" or 32 hexadecimal digits
     df = df.withColumn("found", F.when(F.col("text").rlike("[0-9@]|[A-Fa-f]{32}"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
     df = df.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda m: pseudonym(key, m))))
     df = df.withColumn("between", F.when(F.size("found") > 0, F.split("text", ANY, -1)))
     joined = F.array_join(F.zip_with("between", F.concat("new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    df = df.withColumn("clean", F.when(F.size("found") > 0, joined).otherwise(F.col("text")))
+    joined = F.when(F.col("text") == F.col("plain"), joined).otherwise(F.replace(joined, F.lit(MARK), F.lit("")))
+    df = df.withColumn("clean", F.when(F.size("found") > 0, joined).otherwise(F.col("plain")))
     outputs = {"text": F.col("clean")}
     if count:
         changed = F.size(F.filter(F.zip_with("found", "new", lambda a, b: a != b), lambda x: x))

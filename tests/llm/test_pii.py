@@ -41,3 +41,19 @@ def test_extra_columns_and_empty_table(spark):
     assert out.columns == df.columns and out.first().N_PII == 3 and out.first().text != "10.0.0.1"
     assert pii.pseudonymised(df).columns.count("n_pii") == 1
     assert pii.pseudonymised(df.limit(0)).count() == 0
+
+
+def test_numbers_and_words_beside_cards_and_ibans(spark):
+    card, iban = "4532015112830366", "AT61 1904 3002 3457 3201"
+    cases = {
+        f"{card} 12/27": 1, "4532-0151-1283-0366 09/28": 1, f"{card} 123": 1, f"12 {card}": 1, f"{card} 123 {card}": 2, f"{card} {card}": 2, f"{card} 078-05-1120": 2, f"{card} 10.1.2.255": 2,
+        f"{iban} USD": 1, f"{iban} PAID NOW": 1, f"{iban}": 1, "4532015112830367 123": 0, "1 2 3 4 5 6 7 8 9 10 11 12 13": 0,
+    }
+    df = spark.createDataFrame([(k, f"x {t}.") for k, t in enumerate(cases)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymised(df).collect()}
+    for k, (t, n) in enumerate(cases.items()):
+        new = out[k].text
+        assert out[k].n_pii == n and (n or new == f"x {t}."), t
+        assert not n or card not in new and "4532-0151-1283-0366" not in new and iban not in new, t
+        assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", f"x {t}.") or "10.1" in t, t
+    assert out[0].text.endswith(" 12/27.") and out[8].text.endswith(" USD.") and luhn_ok(out[0].text.split()[1])
