@@ -101,7 +101,7 @@ def synthetic(spark, n: int = 2000, seed: int = 42) -> DataFrame:
 class AmountModel:
     """Boosted trees for the next amount, with bounds from the relative residuals of groups of alike histories."""
 
-    def __init__(self, spark, n: int = 2000, trees: int = 40):
+    def __init__(self, spark, n: int = 2000, trees: int = 200):
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import GBTRegressor
 

@@ -441,7 +441,7 @@ def features_14(spark, sf_dir: str) -> DataFrame:
 def ml_predict(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.operators.prediction import AmountModel, features
 
-    return AmountModel(spark, n=600, trees=20).predict(features(order_charges(spark, sf_dir), ["service"]))
+    return AmountModel(spark).predict(features(order_charges(spark, sf_dir), ["service"]))
 
 
 @query(

@@ -92,3 +92,20 @@ def test_stream_equals_batch(spark, tmp_path):
         alerts.stream(charges, str(tmp_path / "history"), str(tmp_path / "alerts"), str(tmp_path / "checkpoint")).awaitTermination()
         found.append([r.transaction_id for r in spark.read.parquet(str(tmp_path / "alerts")).collect()])
     assert found == [[], ["5"]]
+
+
+def test_query_trains_the_whole_model(spark, monkeypatch, tmp_path):
+    from pyspark.ml.regression import GBTRegressor
+
+    from ledgerlight.queries import ml_predict
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, rows):
+        raise Seen(rows.count(), self.getMaxIter(), self.getMaxDepth(), self.getStepSize())
+
+    monkeypatch.setattr(GBTRegressor, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        ml_predict(spark, str(tmp_path))
+    assert seen.value.args == (2000, 200, 4, 0.05)
