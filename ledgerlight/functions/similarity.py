@@ -56,14 +56,25 @@ def char_grams(text: str) -> list[str]:
     return out
 
 
+def plain_name(name: str) -> str:
+    return name.lower().strip()
+
+
+def inverse_frequencies(found: dict[str, int], names: int) -> dict[str, float]:
+    """Smoothed inverse document frequencies from the number of names that hold each gram."""
+    return {g: math.log((1 + names) / (1 + n)) + 1 for g, n in found.items()}
+
+
 class NameIndex:
-    """The names of a registry, for scoring. ``rows``: (service, name, is canonical) in registration order."""
+    """The names of a registry, for scoring. ``rows``: (service, name, is canonical) in registration order.
+
+    ``idf`` is that of the whole registry where the rows are a part of it.
+    """
 
-    def __init__(self, rows: list[tuple[int, str, bool]]):
-        self.rows = [(s, n.lower().strip(), c) for s, n, c in rows if n and n.strip()]
+    def __init__(self, rows: list[tuple[int, str, bool]], idf: dict[str, float] | None = None):
+        self.rows = [(s, plain_name(n), c) for s, n, c in rows if n and n.strip()]
         counts = [Counter(char_grams(n)) for _, n, _ in self.rows]
-        df = Counter(g for c in counts for g in c)
-        self.idf = {g: math.log((1 + len(self.rows)) / (1 + n)) + 1 for g, n in df.items()}
+        self.idf = idf if idf is not None else inverse_frequencies(Counter(g for c in counts for g in c), len(self.rows))
         self.lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, c in enumerate(counts):
             for g, w in self.vector(c).items():

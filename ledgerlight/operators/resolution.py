@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import text
-from ledgerlight.functions.similarity import NameIndex, cosine_pairs, tfidf
+from ledgerlight.functions.similarity import NameIndex, char_grams, cosine_pairs, inverse_frequencies, plain_name, tfidf
 from ledgerlight.operators import registry
 
 #: Edit similarity, cosine; and what of both together is enough.
@@ -35,12 +35,20 @@ def top_n(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+class _Grams:
+    """Names to the grams that each holds, and an empty one for each name."""
+
+    def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([g for n in frame["name"] if n and n.strip() for g in ("", *set(char_grams(plain_name(n))))], columns=["gram"], dtype=object)
+
+
 class _Score:
-    def __init__(self, names):
-        self.names = names
+    def __init__(self, names, idf):
+        self.names, self.idf = names, idf
 
     def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = NameIndex(self.names.value)
+        index = NameIndex(self.names.value, self.idf and self.idf.value)
         for frame in frames:
             rows = [(name, kind, int(s), float(x)) for name in frame["cleaned"] for kind, found in (("fuzzy", index.fuzzy(name)), ("cosine", index.cosine(name))) for s, x in found]
             yield pd.DataFrame(rows, columns=["cleaned", "kind", "service_ord", "score"])
@@ -49,17 +57,20 @@ class _Score:
 def candidates(names: DataFrame, services: DataFrame, block: int = BLOCK) -> DataFrame:
     """``names(cleaned)`` to their three best services by each similarity: cleaned, kind, service_ord, score, rank.
 
-    Cosines weigh n-grams by their frequency in the whole registry only while
-    it is one block; beyond, in their block.
+    Cosines weigh n-grams by their frequency in the whole registry, also where
+    it is scored in several blocks; those frequencies are then counted first.
     """
     listed = services.select("service_ord", F.posexplode(F.concat(F.array("canonical_name"), "aliases")).alias("place", "name"))
     total = services.agg(F.coalesce(F.sum(F.size("aliases") + 1), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block))
-    out = None
+    context, out, idf = names.sparkSession.sparkContext, None, None
+    if blocks > 1:
+        found = {r.gram: r.n for r in listed.select("name").mapInPandas(_Grams(), "gram string").groupBy("gram").agg(F.count("*").alias("n")).toLocalIterator()}
+        idf = context.broadcast(inverse_frequencies(found, found.pop("", 0)))
     for k in range(blocks):
         part = listed.filter(F.pmod("service_ord", F.lit(blocks)) == k).orderBy("service_ord", "place")
         rows = [(r.service_ord, r.name, r.place == 0) for r in part.toLocalIterator()]
-        found = names.select("cleaned").mapInPandas(_Score(names.sparkSession.sparkContext.broadcast(rows)), "cleaned string, kind string, service_ord bigint, score double")
+        found = names.select("cleaned").mapInPandas(_Score(context.broadcast(rows), idf), "cleaned string, kind string, service_ord bigint, score double")
         out = found if out is None else out.union(found)
     return top_n(out, ["cleaned", "kind"], [F.col("score").desc(), F.col("service_ord")], 3)
 

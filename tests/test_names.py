@@ -94,3 +94,9 @@ def test_analysis_end_to_end(spark):
     assert alerts == {"Adobe": ("high", 1.0, 19.99), "Verizon": ("warning", 0.686, 86.0)} and out["transaction_count"] == 12
     assert {r.severity: r.n for r in out["summary"].collect()} == {"high": 1, "warning": 1, "low": 0}
     assert '"alert_count": 2' in report.report_json(out)
+
+
+def test_registry_blocks_give_the_same_candidates(spark):
+    names = spark.createDataFrame([(n,) for n in ("netflx", "e autopay", "att wireless", "brand new startup xyz", "spotify-usa", "zzz qqq")], "cleaned string")
+    rows = lambda df: sorted((r.cleaned, r.kind, r["rank"], r.service_ord, round(r.score, 9)) for r in df.collect())
+    assert rows(resolution.candidates(names, registry.seeds(spark), block=20)) == rows(resolution.candidates(names, registry.seeds(spark)))
