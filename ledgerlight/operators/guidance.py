@@ -13,7 +13,7 @@ from ledgerlight.operators.registry import upserted
 COLUMNS = ["#", "Provider", "Market Position", "Price Range", "Billing Cycle", "Website", "Cancellation Process", "additional resources"]
 SCHEMA = "`#` int, Provider string, `Market Position` string, `Price Range` string, `Billing Cycle` string, Website string, `Cancellation Process` string, `additional resources` string"
 SHEET = "LLM Web Search"
-#: Names of guides that are sent to the executors; more of them are joined by their words.
+#: Names of guides that are sent to the executors at once; more of them go in blocks.
 FEW = 100_000
 
 # The built-in guides (service, aliases, page to manage it, source).
@@ -62,17 +62,18 @@ def from_table(rows: DataFrame, category: Column | None = None) -> DataFrame:
 def matches(names: DataFrame, guides: DataFrame) -> DataFrame:
     """``names(name)`` to every guide alias that they match, with the score.
 
-    A match holds the other's text, or all its words; the few guides there are
-    go to the executors after a check of their number.
+    A match holds the other's text, or all its words; the guides go to the
+    executors in blocks of bounded size, each to all names.
     """
     aliases = guides.select("*", F.posexplode("aliases").alias("place", "alias")).withColumn("plain", text.cleaned(F.col("alias")))
     distinct = names.select("name").distinct().withColumn("cleaned", text.cleaned(F.col("name")))
-    if aliases.count() <= FEW:
-        joined = distinct.join(F.broadcast(aliases), text.match_score(F.col("cleaned"), F.col("plain")) > 0)
-    else:  # a match of whole words shares one of them
-        words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-        near = distinct.withColumn("w", words(F.col("cleaned"))).join(aliases.withColumn("w", words(F.col("plain"))), "w").drop("w").dropDuplicates(["name", "priority", "ord", "place"])
-        joined = near.filter(text.match_score(F.col("cleaned"), F.col("plain")) > 0)
+    blocks = max(1, -(-aliases.count() // FEW))
+    block = F.pmod(F.xxhash64("priority", "ord", "place", "alias"), F.lit(blocks))
+    joined = None
+    for k in range(blocks):
+        part = aliases.filter(block == k) if blocks > 1 else aliases
+        found = distinct.join(F.broadcast(part), text.match_score(F.col("cleaned"), F.col("plain")) > 0)
+        joined = found if joined is None else joined.union(found)
     return joined.withColumn("score", text.match_score(F.col("cleaned"), F.col("plain")))
 
 

@@ -100,3 +100,12 @@ def test_registry_blocks_give_the_same_candidates(spark):
     names = spark.createDataFrame([(n,) for n in ("netflx", "e autopay", "att wireless", "brand new startup xyz", "spotify-usa", "zzz qqq")], "cleaned string")
     rows = lambda df: sorted((r.cleaned, r.kind, r["rank"], r.service_ord, round(r.score, 9)) for r in df.collect())
     assert rows(resolution.candidates(names, registry.seeds(spark), block=20)) == rows(resolution.candidates(names, registry.seeds(spark)))
+
+
+def test_guide_blocks_give_the_same_matches(spark, monkeypatch):
+    names = spark.createDataFrame([("mynetflix",), ("spotify premium",), ("net",), ("creative adobe",), ("nothing",)], "name string")
+    rows = lambda: sorted((r.name, r.alias, r.score) for r in guidance.matches(names, guidance.built_in(spark)).collect())
+    whole = rows()
+    assert ("mynetflix", "netflix", 0.92) in whole and ("net", "netflix", 0.86) in whole
+    monkeypatch.setattr(guidance, "FEW", 6)
+    assert rows() == whole
