@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import text
+from ledgerlight.functions.plan import checkpoint
 from ledgerlight.functions.similarity import NameIndex, char_grams, cosine_pairs, inverse_frequencies, plain_name, tfidf
 from ledgerlight.operators import registry
 
@@ -158,12 +159,9 @@ def clustered(names: DataFrame, key: str = "name") -> DataFrame:
     edges = cosine_pairs(tfidf(distinct, "name", "name"), "name", LINK - 1e-9).select("a", "b")
     both = edges.union(edges.select("b", "a")).toDF("name", "other").cache()
     labels = distinct.select("name", F.col("name").alias("cluster"))
-    spark = names.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ledgerlight-checkpoints")
     while True:
         near = both.join(labels.withColumnRenamed("name", "other"), "other").groupBy("name").agg(F.min("cluster").alias("low"))
-        after = labels.join(near, "name", "left").select("name", F.least("cluster", "low").alias("cluster"), (F.col("low") < F.col("cluster")).alias("moved")).checkpoint()
+        after = checkpoint(labels.join(near, "name", "left").select("name", F.least("cluster", "low").alias("cluster"), (F.col("low") < F.col("cluster")).alias("moved")))
         labels = after.select("name", "cluster")
         if after.filter("moved").isEmpty():
             break
