@@ -12,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlight.functions.plan import checkpoint
+
+__all__ = ["ascii_lower", "checkpoint", "fenced", "packed", "quoted", "small", "table", "unpacked", "words"]
+
 #: The separators of a word, as a Java regular expression: the complement is ``[^\x20\x09-\x0D]``.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 #: The same characters, for trimming.
@@ -69,17 +73,3 @@ BROADCAST_ROWS = 100_000
 def small(df: DataFrame) -> DataFrame:
     """A checkpointed table, to be broadcast if it has few rows; else it is joined as any other."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with reliable copies in the folder of ``spark.checkpoint.dir``.
-
-    The folder is the cluster's; only where the session names none (tests on
-    one machine) is a folder set here.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or "/tmp/ledgerlight-checkpoints")
-    return df.checkpoint(eager=True)
