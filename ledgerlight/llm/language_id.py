@@ -7,18 +7,21 @@ leader (FTRL-proximal) with elastic-net penalties on a bounded, repeatable
 sample of them, and its temperature is fitted on a part of that sample that the
 training did not see.  Whole texts are used everywhere.
 
-Defined results: ``und`` with score 0 for a null text, a text without a letter,
-and for every text when nothing can be learned; a null language is not learned
-from; repeated rows are treated alike; an empty table gives an empty result.
+Defined results: ``und`` with score 0 for a null text, a text without a letter
+(of any script; numeric symbols are none), and for every text when nothing can
+be learned; a null language is not learned from; copies of a text count once in
+the sample; of classes of equal probability the first by name is taken; a
+language is known however many there are; other columns are not read; very long
+texts are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +29,9 @@ from ledgerlight.llm import common
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
-#: Documents of each language in the training sample at most, those with the least hash; and languages at most, the most frequent.
-SAMPLE, LANGUAGES = 400, 256
+#: Documents of each language in the training sample at most, those with the least hash; of all languages together, as
+#: long as that leaves each LEAST; and bytes of their features, shared evenly, where each language has one at least.
+SAMPLE, TOTAL, LEAST, SAMPLE_BYTES = 400, 102_400, 10, 64 << 20
 #: Hashes of texts are compared within this range.
 SPAN = 1 << 31
 #: Every so many-th document of the sample fits the temperature instead of the weights.
@@ -36,7 +40,7 @@ EPOCHS = 6
 #: FTRL-proximal: step size, its smoothing, and the penalties.
 STEP, SMOOTHING, L1, L2 = 0.8, 1.0, 1e-3, 1e-3
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -159,18 +163,22 @@ def fitted(training: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.nda
     if found:
         seen[list(found)] = list(found.values())
     idf = np.log((1 + texts) / (1 + seen)) + 1
-    counted = training.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts"))
-    frequent = [(r.lang, r.texts) for r in counted.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()]
-    if not frequent:
+    counted = training.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts")).collect()  # a row for each class of the model
+    if not counted:
         return [], np.zeros((BUCKETS, 1)), idf, 1.0
+    sample = max(min(sample, TOTAL // len(counted)), min(sample, LEAST))
     # Texts under a cut of their hash, four times the sample in expectation, so that one pass
     # finds the sample and no language's rows meet in one task; copies of a text count once,
     # in the sample and in the number that the cut comes from.
-    cuts = F.create_map(*[F.lit(x) for lang, n in frequent for x in (lang, min(SPAN, -(-SPAN * 4 * sample // max(n, 1))))])
-    few = training.filter(F.pmod("h", F.lit(SPAN)) < F.try_element_at(cuts, F.col("lang"))).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    chosen = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SPAN)), "h"))).filter(F.col("k") <= sample).drop("k")
-    docs = chosen.mapInArrow(_Features(), "lang string, h bigint, buckets binary, counts binary").collect()
-    names = sorted(lang for lang, _ in frequent)
+    cuts = [(r.lang, min(SPAN, -(-SPAN * 4 * sample // max(r.texts, 1)))) for r in counted]
+    cuts = F.broadcast(training.sparkSession.createDataFrame(cuts, "lang string, cut bigint"))
+    few = training.join(cuts, "lang").filter(F.pmod("h", F.lit(SPAN)) < F.col("cut")).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    by_hash = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SPAN)), "h")
+    chosen = few.withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= sample).drop("k")
+    docs = chosen.mapInArrow(_Features(), "lang string, h bigint, buckets binary, counts binary")
+    upto = F.sum(F.octet_length("buckets") + F.octet_length("counts")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1))
+    docs = docs.withColumn("upto", F.coalesce(upto, F.lit(0))).filter(F.col("upto") < SAMPLE_BYTES // len(counted)).drop("upto").collect()
+    names = sorted(r.lang for r in counted)
     place = {n: k for k, n in enumerate(names)}
     known = []
     for r in sorted(docs, key=lambda r: (r.h, r.lang)):
