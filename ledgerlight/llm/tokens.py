@@ -9,12 +9,15 @@ itself costs the least score less 10 and counts its UTF-8 bytes; of paths of equ
 score the one with the longest last piece stays.  Scores are summed in double
 precision.
 
-No piece reaches over the start of a run of U+2581, nor over a character that
-no piece holds, so a text falls into stretches whose best paths are independent;
-each worker keeps the counts of a bounded number of stretches.
+Where no piece reaches over the start of a run of U+2581, nor over a line break,
+a text falls into stretches whose best paths are independent; each worker keeps
+the counts of a bounded number of stretches.  A vocabulary with pieces that do
+is read without those cuts.  The state of a stretch is as long as the longest
+piece, however long the text is.
 
 Defined results: null and empty texts have no tokens; repeated rows are counted
-row by row; an empty table gives an empty result.
+row by row; other columns are not read; an empty vocabulary counts the UTF-8
+bytes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,32 +60,37 @@ class Counts:
         self.automaton.make_automaton()
         self.single = {p for p, _ in pieces if len(p) == 1}
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
-        if any(SPACE in p.lstrip(SPACE) for p, _ in pieces):
-            raise ValueError("a piece reaches over the start of a word")
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         line = "" if any("\n" in p for p, _ in pieces) else r"\n"
-        self.stretches = re.compile(rf"{SPACE}*[^{SPACE}{line}]+|{SPACE}+" + (r"|\n" if line else ""))
+        # pieces that reach over the start of a word leave only the characters that no piece holds to part texts
+        over = any(SPACE in p.lstrip(SPACE) for p, _ in pieces)
+        word = rf"[^{line}]+" if over and line else r"(?s).+" if over else rf"{SPACE}*[^{SPACE}{line}]+|{SPACE}+"
+        self.stretches = re.compile(word + (r"|\n" if line else ""))
 
     def stretch(self, text: str) -> int:
-        """Pieces on the best path of one stretch."""
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            ends[end].append(found)
-        score, count = [0.0] * (n + 1), [0] * (n + 1)
+        """Pieces on the best path of one stretch, from rings of scores and counts as long as the longest piece."""
+        n, ring = len(text), self.longest + 1
+        score, count = [0.0] * ring, [0] * ring
+        matches = self.automaton.iter(text)
+        waiting = next(matches, None)
         for end in range(n):
+            found = []
+            while waiting is not None and waiting[0] == end:
+                found.append(waiting[1])
+                waiting = next(matches, None)
             best, pieces = None, 0
             # longest first: of equal scores the first stays
-            for length, own in sorted(ends[end], reverse=True):
-                at = end + 1 - length
+            for length, own in sorted(found, reverse=True):
+                at = (end + 1 - length) % ring
                 total = score[at] + own
                 if best is None or total > best:
                     best, pieces = total, count[at] + 1
             if text[end] not in self.single:
-                total = score[end] + self.unknown
+                total = score[end % ring] + self.unknown
                 if best is None or total > best:
-                    best, pieces = total, count[end] + len(text[end].encode())
-            score[end + 1], count[end + 1] = best, pieces
-        return count[n]
+                    best, pieces = total, count[end % ring] + len(text[end].encode())
+            score[(end + 1) % ring], count[(end + 1) % ring] = best, pieces
+        return count[n % ring]
 
     def __call__(self, text: str | None) -> int:
         if not text:
