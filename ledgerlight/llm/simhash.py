@@ -7,12 +7,15 @@ surely share), and within a block the fingerprints stand as bit planes: 64
 comparisons a machine word, their distances kept in carry-save vertical
 counters, and a block is left as soon as every comparison exceeds the radius.
 A block hands on a spanning forest of its links, which has the same components.
-A block of more than ``chunk`` fingerprints is compared as pairs of chunks, so
-that no task holds a block of unbounded size and no link is lost.
+A block of more than ``chunk`` fingerprints is parted by further bits (narrow
+ones) or linked to one of its fingerprints first (wide ones); what is left of it
+is compared as pairs of chunks, so that no task holds a block of unbounded size
+and no link is lost.
 
 Defined results: null and blank texts have the fingerprint zero and are linked
 like any other; a null doc_id keeps its row and never names a component unless
 all of it are null (then the component is null); repeated rows stay repeated;
+texts of any length are read whole, a few at a time; other columns are not read;
 an empty table gives an empty result.
 """
 
@@ -42,6 +45,9 @@ STAGE_SHINGLE, STAGE_WIDTH, STAGE_RADIUS, SIMILAR = 5, 8, 108, 0.8
 #: Bands of minima that deal wide fingerprints to blocks: at 0.8 all but 1 of 30,000 pairs share one.
 BANDS, ROWS = 20, 4
 
+#: Every fourth bit.
+QUARTER = 0x1111111111111111
+
 #: Byte to eight byte lanes, one for each bit.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 MIX = 0x9E3779B97F4A7C15
@@ -292,10 +298,60 @@ def dealt(blocks: DataFrame, chunk: int) -> DataFrame:
 
 
 def links(blocks: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
-    """``blocks(block, fp)`` of distinct rows to links ``(a, b)`` between fingerprints within the radius."""
+    """``blocks(block, fp)`` of distinct rows to links ``(a, b)`` that connect what all pairs within the radius in a block connect."""
     return dealt(blocks, chunk).mapInArrow(_Links(radius), "a binary, b binary").distinct()
 
 
+def large(blocks: DataFrame, chunk: int) -> DataFrame:
+    """The blocks of more than ``chunk`` rows, with their least fingerprint: few, as a block of that size has that many rows."""
+    return common.checkpoint(blocks.groupBy("block").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter(F.col("n") > chunk).select(F.col("block").alias("l_block"), "pivot"))
+
+
+def quartered(blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``blocks(block, fp, word)`` with the large ones parted: of four interleaved quarters of the bits, 3 differing ones leave one equal."""
+    df = blocks.join(common.small(large(blocks, chunk)), F.col("block") == F.col("l_block"), "left")
+    parts = [F.xxhash64("block", F.lit(k), F.col("word").bitwiseAND(F.lit(QUARTER << k if k < 3 else (QUARTER << 3) - (1 << 64)))) for k in range(4)]
+    return df.select("fp", F.explode_outer(F.when(F.col("l_block").isNull(), F.array("block")).otherwise(F.array(*parts))).alias("block")).distinct()
+
+
+class _NearPivot:
+    """Rows (block, fp, pivot) with ``near``: whether the fingerprint stands within the radius of the pivot of its block."""
+
+    def __init__(self, radius: int):
+        self.radius = radius
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("fp", "pivot"))
+                yield batch.append_column("near", pa.array(pairs_near(a, b, self.radius)))
+
+
+def pivoted_links(blocks: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """As :func:`links`, with a pass before it that links the rows of a large block to its least fingerprint.
+
+    What stands within the radius of that needs no comparison with each other;
+    the rest of the block is compared with all of it.
+    """
+    big = common.small(large(blocks, chunk))
+    df = blocks.join(big, F.col("block") == F.col("l_block")).select("block", "fp", "pivot")
+    df = common.checkpoint(df.mapInArrow(_NearPivot(radius), "block bigint, fp binary, pivot binary, near boolean"))
+    small = blocks.join(big, F.col("block") == F.col("l_block"), "left_anti").select("block", "fp")
+    found = dealt(small, chunk).unionByName(dealt_apart(df.select("block", "fp", "near"), chunk)).mapInArrow(_Links(radius), "a binary, b binary")
+    return found.union(df.filter("near AND fp <> pivot").select("fp", "pivot")).distinct()
+
+
+def dealt_apart(rows: DataFrame, chunk: int) -> DataFrame:
+    """As :func:`dealt` for ``rows(block, fp, near)``, without the pairs of chunks whose rows are all near to their pivot."""
+    sizes = rows.groupBy("block").agg(F.count_if(~F.col("near")).alias("far"), F.count_if("near").alias("close")).filter("far > 0")
+    df = rows.join(sizes, "block").withColumn("c", F.ceil(F.col("far") / chunk).cast("int")).withColumn("d", F.ceil(F.col("close") / chunk).cast("int"))
+    slot = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    df = df.withColumn("own", F.when(F.col("near"), F.col("c") + slot(F.col("d"))).otherwise(slot(F.col("c"))))
+    df = df.select("block", "fp", "own", F.explode_outer(F.sequence(F.lit(0), F.when(F.col("near"), F.col("c")).otherwise(F.col("c") + F.col("d")) - 1)).alias("other"))
+    df = df.select("block", F.greatest("own", "other").alias("i"), F.least("own", "other").alias("j"), (F.col("own") < F.col("other")).cast("int").alias("side"), "fp")
+    return df.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "side", "fp")
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether the Jaccard similarity of two sets (sorted arrays) is at least SIMILAR."""
     if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
@@ -378,15 +434,15 @@ def confirmed(docs: DataFrame, prints: DataFrame, blocks: DataFrame, found: Data
     return good.union(again.mapInArrow(_SimilarLinks(radius), "a binary, b binary"))
 
 
-def component_ids(prints: DataFrame, found: DataFrame, key: str = "fp") -> DataFrame:
-    """``prints`` with component_id: the least doc_id reachable over the links."""
+def component_ids(prints: DataFrame, found: DataFrame, name: Column | None = None) -> DataFrame:
+    """``prints`` with component_id: the least ``name`` (the doc_id) reachable over the links."""
     roots = components(found)
-    least = prints.groupBy(key).agg(F.min("doc_id").alias("least"))
-    rooted = common.checkpoint(least.join(roots, least[key] == roots["node"], "left").select(key, "least", F.coalesce("root", key).alias("root")))
-    # a component is known by the least doc_id of all its fingerprints; written first, so that
+    least = prints.groupBy("fp").agg(F.min(F.col("doc_id") if name is None else name).alias("least"))
+    rooted = common.checkpoint(least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # a component is known by the least name of all its fingerprints; written first, so that
     # the join reads two exchanges and a large component can be split over tasks
     named = common.checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    return prints.join(rooted.join(named, "root").select(key, "component_id"), key, "left")
+    return prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -396,8 +452,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = fingerprints(docs, shingle)
     distinct = prints.select("fp").distinct()
     word = F.conv(F.hex(reversed_bytes("fp")), 16, -10).cast("bigint")
-    blocks = distinct.select("fp", F.explode_outer(parts_of(word)).alias("block"))
-    return component_ids(prints, links(blocks, radius))
+    blocks = distinct.select("fp", word.alias("word")).select("fp", "word", F.explode_outer(parts_of(F.col("word"))).alias("block"))
+    return component_ids(prints, links(quartered(blocks), radius))
 
 
 def reversed_bytes(name: str) -> Column:
@@ -405,26 +461,32 @@ def reversed_bytes(name: str) -> Column:
 
 
 def deduplicated(docs: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
-    """The documents less those that have a near copy of smaller doc_id in their group: one of each group stays.
+    """The documents less those that have a near copy before them in their group: one row of each group stays.
 
     A group is a component of the pairs whose sets of five-word shingles have a
     Jaccard similarity of at least 0.8.  Minima and fingerprints of 512 bits
     over the same sets propose the pairs; equal fingerprints are equal sets, as
-    at a similarity of 0.8 all 512 bits agree less than once in 10^30 pairs.  Rows that
-    repeat a doc_id count as one document, of which one row stays; of rows
-    without a doc_id all stay that have no copy with one, as do blank texts
-    (a text without words is a copy of nothing).
+    at a similarity of 0.8 all 512 bits agree less than once in 10^30 pairs.
+
+    Rows are judged, not ids: of a group the row of the least doc_id stays, rows
+    without one after all others, of equal ids that whose text has the least
+    hash, and of rows that repeat id and text the one whose other columns have
+    the least hash.  Rows of one id whose texts are unlike thus all stay.  Blank
+    and null texts are copies of nothing and stay, however often they repeat.
     """
     body = docs.filter(F.size(common.words(F.col("text"))) > 0)
     prints = fingerprints(body, STAGE_SHINGLE, STAGE_WIDTH, bands=True)
     blocks = prints.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode_outer("keys").alias("block"))
-    grouped = component_ids(prints.select("doc_id", "fp"), confirmed(body, prints, blocks, links(blocks, radius), radius))
-    gone = grouped.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    df = common.packed(docs, doc_id=F.col("doc_id").cast("bigint"))
-    kept = df.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    named = kept.filter(F.col("doc_id").isNotNull())
-    named = named.groupBy("doc_id").agg(F.first("row").alias("row"))
-    return common.unpacked(named.select("row").union(kept.filter(F.col("doc_id").isNull()).select("row")), docs.columns)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("h"))
+    grouped = component_ids(prints.select("doc_id", "h", "fp"), confirmed(body, prints, blocks, pivoted_links(blocks, radius), radius), place)
+    rows = grouped.groupBy("doc_id", "h").agg(F.count("*").alias("n"), (F.first("component_id") != F.first(place)).alias("gone"))
+    # only what goes or repeats is joined; of the rest no text moves
+    verdicts = common.small(common.checkpoint(rows.filter("gone OR n > 1").select(F.col("doc_id").alias("v_id"), F.col("h").alias("v_h"), "gone")))
+    columns = [c for c, t in docs.dtypes if "map<" not in t]
+    df = common.packed(docs, doc_id=F.col("doc_id").cast("bigint"), h=F.xxhash64(F.col("text").cast("string")), other=F.xxhash64(*map(common.quoted, columns)))
+    df = df.join(verdicts, F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("h") == F.col("v_h")), "left")
+    repeated = df.filter("NOT gone").groupBy("doc_id", "h").agg(F.min_by("row", "other").alias("row"))
+    return common.unpacked(df.filter("gone IS NULL").select("row").union(repeated.select("row")), docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -56,28 +56,61 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_chunks_lose_no_link(spark):
+def test_large_blocks_lose_no_link(spark):
     rnd = np.random.default_rng(3)
     base = int(rnd.integers(0, 2**62))
     prints = sorted({base ^ sum(1 << int(b) for b in rnd.choice(64, 2, replace=False)) for _ in range(200)})
-    rows = [(1, p.to_bytes(8, "little")) for p in prints]
-    blocks = spark.createDataFrame([(b, bytearray(f)) for b, f in rows], "block long, fp binary")
-    whole, chunked = (components.components(simhash.links(blocks, 3, chunk)) for chunk in (1000, 16))
-    parts = lambda df: sorted(sorted(bytes(r.node) for r in df.collect() if bytes(r.root) == x) for x in {bytes(r.root) for r in df.collect()})
-    assert parts(whole) == parts(chunked)
-
-
-def test_stage_keeps_one_of_each_group(spark):
+    parts = lambda links: sorted(sorted(bytes(r.node) for r in rows if bytes(r.root) == x) for rows in [components.components(links).collect()] for x in {bytes(r.root) for r in rows})
+    rows = [(1, bytearray(p.to_bytes(8, "little")), p - (1 << 64) if p >> 63 else p) for p in prints]
+    narrow = spark.createDataFrame(rows, "block long, fp binary, word long")
+    want = parts(simhash.links(narrow.select("block", "fp"), 3, 1000))
+    assert parts(simhash.links(narrow.select("block", "fp"), 3, 16)) == want
+    assert parts(simhash.links(simhash.quartered(narrow, 16), 3, 16)) == want
+    wide = rnd.integers(0, 2**63, (3, 8), np.uint64)[rnd.integers(0, 3, 200)]
+    for r in wide:
+        for b in rnd.integers(0, 512, 60):
+            r[b // 64] ^= np.uint64(1 << int(b % 64))
+    wide = spark.createDataFrame([(k % 2, bytearray(r.tobytes())) for k, r in enumerate(wide)] + [(7, bytearray(wide[0].tobytes()))], "block long, fp binary")
+    want = parts(simhash.links(wide, 108, 1000))
+    assert len(want) > 2 and parts(simhash.pivoted_links(wide, 108, 16)) == want == parts(simhash.pivoted_links(wide, 108))
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
     rnd = random.Random(4)
     text = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
-    base = text(300)
+    base, lonely = text(300), text(80)
     near = base.split()
     near[40] = near[170] = "edited"
-    rows = [(5, base, "x"), (3, " ".join(near), "y"), (9, base.upper(), "z"), (1, text(300), "w"), (2, text(30), None), (None, base, "n"), (6, None, "e"), (7, "", "e"), (1, rows_text := text(10), "again")]
+    rows = [(5, base, "x"), (3, " ".join(near), "y"), (9, base.upper(), "z"), (1, text(300), "w"), (2, text(30), None), (None, base, "n"), (6, None, "e"), (7, "", "e"), (7, "", "e")]
+    rows += [(1, text(10), "one id, another text"), (8, lonely, "a"), (8, lonely, "b"), (8, lonely, "a"), (None, text(40), "null"), (3, base, "same id, near text")]
     df = spark.createDataFrame(rows, "doc_id long, text string, gone string")
-    out = simhash.deduplicated(df)
-    assert out.columns == df.columns and rows_text
-    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "3", "6", "7", "None"]
+    for given in (df, df.repartition(5)):
+        out = simhash.deduplicated(given)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "6", "7", "7", "8", "None"]
+        assert {r.gone for r in got if r.doc_id is None} == {"null"} and len({r.gone for r in got if r.doc_id == 8}) == 1
+    assert simhash.deduplicated(df.limit(0)).count() == 0
+
+
+def test_candidates_of_thousands_of_pairs():
+    """Of pairs just above the similarity nearly all are proposed: they share a band and stand within the radius."""
+    rnd = np.random.default_rng(6)
+    stage = simhash._Fingerprint(5, simhash.STAGE_WIDTH, True)
+    proposed = total = 0
+    for n in (30, 100, 400, 1600):
+        for _ in range(1000):
+            shared = int(np.ceil(n * rnd.uniform(0.8, 0.82)))
+            extra = rnd.integers(0, n - shared + 1)
+            pool = rnd.integers(0, 2**64, n, np.uint64)
+            a, b = np.unique(pool[: shared + extra]), np.unique(np.concatenate([pool[:shared], pool[shared + extra :]]))
+            hashes, sizes = np.concatenate([a, b]), np.array([len(a), len(b)])
+            assert simhash.similar(a, b)
+            keys = stage.keys(hashes, sizes)
+            fps = np.stack([simhash.majorities(simhash.remixed(hashes, k), sizes) for k in range(simhash.STAGE_WIDTH)], axis=1)
+            proposed += (keys[0] == keys[1]).any() and np.bitwise_count(fps[0] ^ fps[1]).sum() <= simhash.STAGE_RADIUS
+            total += 1
+    assert total == 4000 and proposed / total > 0.99, proposed / total
 
 
 def jaccard(a, b):
