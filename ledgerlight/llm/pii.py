@@ -12,7 +12,9 @@ its validation is ordinary text and stays, but for a card or IBAN that a number
 word beside it makes too long: such a run is parted where a shorter one is valid.
 
 Defined results: a null text stays null with 0 replacements; empty texts stay;
-repeated rows are treated alike; an empty table gives an empty result.
+repeated rows are treated alike; of kinds that fit one place the first of KINDS
+counts; texts of any length are read whole; an input column named like the count
+is replaced, all others stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,8 +48,13 @@ MARK = "\ue0f1\ue0f2\ue0f3"
 #: A part may meet what follows it in another run, which is parted once more.
 PARTINGS = 2
 
-#: Days from 1900-01-01 that dates are permuted within: 270 * 270, up to 2099-08-04.
-DATE_SIDE = 270
+#: Dates are permuted within the years 1900 to 2099 (73,049 days) and within all other years up to 9999 (3,579,010 days,
+#: 693,595 of them before 1900); the sides of both ranges, whose product is the number of days.
+EPOCH = "1900-01-01"
+COMMON, BEFORE = 73_049, 693_595
+COMMON_SIDES, OTHER_SIDES = (17, 4297), (170, 21_053)
+#: Steps of a walk to a day after the twelfth; six in ten end it.
+WALK = 64
 #: Social security numbers: areas 1 to 899 without 666, groups 1 to 99, serials 1 to 9999.
 SSN_LEFT, SSN_RIGHT = 898 * 99, 9999
 
@@ -176,16 +183,34 @@ def address(key: str, m: Column) -> Column:
     return F.concat_ws(".", *part("l"), *part("r"))
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of the value, which is computed once; null of null."""
+    return F.element_at(F.transform(F.array(value), lambda x: F.when(x.isNotNull(), f(x))), 1)
+
+
+def permuted_day(key: str, day: Column) -> Column:
+    """A day (counted from EPOCH) permuted within its range of years."""
+    common = (day >= 0) & (day < COMMON)
+    side = lambda k: F.when(common, F.lit(COMMON_SIDES[k])).otherwise(F.lit(OTHER_SIDES[k]))
+    index = F.when(common, day).when(day < 0, day + BEFORE).otherwise(day - COMMON + BEFORE)
+    mixed = feistel(key, "date", F.when(common, F.lit(0)).otherwise(F.lit(1)), F.floor(index / side(1)), index % side(1), side(0), side(1))
+    back = lambda x: F.when(common, x).when(x < BEFORE, x - BEFORE).otherwise(x - BEFORE + COMMON)
+    return bound(bound(mixed, lambda s: s["l"] * side(1) + s["r"]), back)
+
+
 def date(key: str, m: Column) -> Column:
-    """Month first where that is a date, else day first; the order is kept."""
-    out = None
-    for form in ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy"):
-        day = F.datediff(F.to_date(F.try_to_timestamp(m, F.lit(form))), F.lit("1900-01-01").cast("date"))
-        mixed = feistel(key, "date", F.lit(0), F.floor(day / DATE_SIDE), day % DATE_SIDE, F.lit(DATE_SIDE), F.lit(DATE_SIDE))
-        moved = F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (mixed["l"] * DATE_SIDE + mixed["r"]).cast("int")), form)
-        this = F.when((day >= 0) & (day < DATE_SIDE * DATE_SIDE), moved)
-        out = this if out is None else F.coalesce(out, this)
-    return out
+    """A date of the same form.  Slashes: month first where that is a date, else day first.
+
+    A date that only day first can be read as walks on until it is such a date
+    again, so that the pseudonyms of both readings never meet.
+    """
+    epoch = F.lit(EPOCH).cast("date")
+    day = lambda form: F.datediff(F.try_to_date(m, form), epoch).cast("bigint")
+    at = lambda d: F.date_add(epoch, d.cast("int"))
+    walked = lambda d: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permuted_day(key, d), lambda x, _: F.when(F.dayofmonth(at(x)) > 12, x).otherwise(permuted_day(key, x)))
+    moved = lambda form, f: bound(bound(day(form), f), lambda d: F.date_format(at(d), form))
+    plain = [moved(form, lambda d: permuted_day(key, d)) for form in ("yyyy-MM-dd", "MM/dd/yyyy", "dd.MM.yyyy")]
+    return F.coalesce(*plain, moved("dd/MM/yyyy", walked))
 
 
 def phone(key: str, m: Column) -> Column:

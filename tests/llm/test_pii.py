@@ -1,5 +1,9 @@
+import datetime as dt
+import random
 import re
 
+import brute
+
 from ledgerlight.llm import pii
 
 
@@ -57,3 +61,44 @@ def test_numbers_and_words_beside_cards_and_ibans(spark):
         assert not n or card not in new and "4532-0151-1283-0366" not in new and iban not in new, t
         assert re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", f"x {t}.") or "10.1" in t, t
     assert out[0].text.endswith(" 12/27.") and out[8].text.endswith(" USD.") and luhn_ok(out[0].text.split()[1])
+
+
+def test_against_brute_force(spark):
+    rnd = random.Random(14)
+    number = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        d = number(rnd.randint(12, 18))
+        d += str(-brute.luhn(d + "0") % 10)
+        return rnd.choice([d, " ".join(d[k : k + 4] for k in range(0, len(d), 4)), "-".join(d[k : k + 4] for k in range(0, len(d), 4)), d[:-1] + "0"])
+
+    def iban():
+        country, body = rnd.choice(["DE", "GB", "AT"]), rnd.choice(["", "WEST"]) + number(rnd.randint(12, 18))
+        plain = f"{country}{98 - brute.modulo(body + country + '00'):02d}{body}"
+        return rnd.choice([plain, " ".join(plain[k : k + 4] for k in range(0, len(plain), 4)), plain + "0"])
+
+    def day():
+        d = dt.date.fromordinal(rnd.choice([rnd.randint(1, 3652059), rnd.randint(690000, 770000)]))
+        return rnd.choice([d.isoformat(), f"{d.month:02d}/{d.day:02d}/{d.year:04d}", f"{d.day:02d}/{d.month:02d}/{d.year:04d}", f"{d.day:02d}.{d.month:02d}.{d.year:04d}", "2023-02-30", "31/31/2020"])
+
+    makers = [
+        card, iban, day, lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: ".".join(str(rnd.randint(0, 260)) for _ in range(4)), lambda: f"+{rnd.randint(1, 99)} ({number(3)}) {number(3)}-{number(4)}",
+        lambda: f"{number(3)}.{number(3)}.{number(4)}", lambda: rnd.choice(["a.b@Mail.example.com", "x_1@h-2.org", "no@host"]), lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(rnd.randint(30, 70))).replace("a", "a"),
+        lambda: number(rnd.randint(1, 22)), lambda: rnd.choice(["word", "\n", "USD", "é", ""]),
+    ]
+    texts = ["".join(rnd.choice(makers)() + rnd.choice([" ", " ", ", ", "-", "\n", ""]) for _ in range(rnd.randint(0, 8))) for _ in range(1500)]
+    texts += [None, "", texts[3], texts[3], "no data " * 20000 + "4532015112830366 " + "x" * 100000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.n_pii) for r in pii.pseudonymised(df).collect()}
+    for k, t in enumerate(texts):
+        assert out[k] == brute.pseudonymised(t), t
+    assert sum(n for _, n in out.values()) > 1500
+
+
+def test_dates_never_meet(spark):
+    days = [dt.date(1988, 1, 1) + dt.timedelta(days=k) for k in range(4383)] + [dt.date(1899, 12, 31), dt.date(2100, 1, 1), dt.date(1, 1, 1), dt.date(9999, 12, 31)]
+    given = sorted({form.format(d.year, d.month, d.day) for d in days for form in ("{0:04d}-{1:02d}-{2:02d}", "{1:02d}/{2:02d}/{0:04d}", "{2:02d}/{1:02d}/{0:04d}", "{2:02d}.{1:02d}.{0:04d}")})
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.pseudonymised(df).collect()}
+    assert len(set(out.values())) == len(given) and sum(out[k] == t for k, t in enumerate(given)) < 5
+    assert all(re.sub("[0-9]", "9", out[k]) == re.sub("[0-9]", "9", t) for k, t in enumerate(given))
