@@ -5,9 +5,11 @@ part of the corpus.  A count c is stored as its level 1 + floor(log_1.5 c): the
 filter holds (n-gram, j) for every j up to the level, so that a count is read
 by membership probes for j = 1, 2, ... until one fails.  The filter has a part
 for each range of n-gram hashes, each with bits for its own entries, so it
-grows with the corpus.  Parts are broadcast in groups of bounded size; where
-there is more than one group, each passes over the corpus in turn and adds what
-it knows of each token, and the last one scores.
+grows with the corpus, while a part stays as it is.  A model of up to
+``GROUP_BYTES`` is broadcast and probed where the texts are.  A larger one stays
+in its parts: the n-grams of bundles of documents, each once a bundle, are sent
+to the parts that hold them, probed there, and what was read goes back to the
+bundle, which is scored.  Both ways make the same probes and the same scores.
 
 The score of a token after another is that of a Dirichlet-smoothed pair over a
 smoothed word, all counts read from the filter; the base score takes exact word
@@ -16,12 +18,14 @@ ends with one end token.
 
 Defined results: null and empty texts are one end token; a null doc_id counts
 as training; repeated rows are counted and scored row by row; with no training
-document every probability is 1 / (V + 1) = 1; an empty table gives an empty result.
+document every probability is 1 / (V + 1) = 1; texts of any length are read
+whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +43,12 @@ MU = 20.0
 LOG_BASE = 1.5
 #: Bits of the filter for an entry, and probes of a membership test: about one test in a hundred is wrongly positive.
 ENTRY_BITS, PROBES = 10, 6
-#: Documents for a part of the filter, on average.
-PART_DOCS = 4096
-#: Bytes of model that are broadcast at once.
+#: Documents for a part of the filter, on average, and parts that a task merges.
+PART_DOCS, TASK_PARTS = 1024, 4
+#: Bytes of model up to which it is broadcast; each Python worker holds a copy.
 GROUP_BYTES = 384 << 20
+#: Tokens of a bundle, as long as no single text has more.
+BUNDLE = 1 << 20
 #: Tokens that a worker gathers before it sorts and hands on.
 GATHER = 1 << 21
 MASK = (1 << 64) - 1
@@ -160,15 +166,18 @@ def model_part(table: pa.Table) -> pa.Table:
 
 
 class Group:
-    """Parts of the model that are in memory together."""
+    """Parts of the model that are in memory together, of a contiguous range of part numbers."""
 
     def __init__(self, shift: int, rows):
-        self.shift = shift
-        self.offset = np.full(1 << (64 - shift), -1, np.int64)  # bytes
-        self.size = np.ones(1 << (64 - shift), np.uint64)
+        rows = sorted(rows, key=lambda r: r["part"])
+        self.shift, self.first = shift, rows[0]["part"] if rows else 0
+        spread = rows[-1]["part"] - self.first + 1 if rows else 1
+        self.offset = np.full(spread, -1, np.int64)  # bytes
+        self.size = np.ones(spread, np.uint64)
         words, counts, bits, at = [], [], [], 0
-        for row in sorted(rows, key=lambda r: r["part"]):
-            self.offset[row["part"]], self.size[row["part"]] = at, row["size"]
+        for row in rows:
+            k = row["part"] - self.first
+            self.offset[k], self.size[k] = at, row["size"]
             at += len(row["bits"])
             words.append(bytes(row["words"]))
             counts.append(bytes(row["counts"]))
@@ -185,8 +194,10 @@ class Group:
     def level(self, hashes: np.ndarray, kind: int) -> np.ndarray:
         """Levels read by repeated probes; 0 for what the group doesn't hold."""
         out = np.zeros(len(hashes), np.uint8)
-        part = (hashes >> np.uint64(self.shift)).astype(np.int64)
-        active = np.flatnonzero(self.offset[part] >= 0)
+        part = (hashes >> np.uint64(self.shift)).astype(np.int64) - self.first
+        inside = (part >= 0) & (part < len(self.offset))
+        part[~inside] = 0
+        active = np.flatnonzero(inside & (self.offset[part] >= 0))
         for j in range(1, 255):
             if not len(active):
                 break
@@ -199,83 +210,159 @@ class Group:
         return out
 
 
-class _Pass:
-    """What a group knows of each token, added to what earlier groups knew; the last pass scores."""
-
-    def __init__(self, group, last: bool, total: int, types: int):
-        self.group, self.last, self.total, self.types = group, last, total, types
+class Scores:
+    """Scores from what was read of each token: exact counts and levels of words, levels of pairs, and the level of the ends."""
 
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                yield self.part(batch.slice(at, 256))
+    def __init__(self, total: int, types: int):
+        self.total, self.below = total, total + ALPHA * (types + 1)
 
-    def part(self, batch: pa.RecordBatch) -> pa.RecordBatch:
-        runs = [tokens(t.as_py()) for t in batch.column("text")]
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
-        words = np.concatenate([np.array([START], np.uint64), *runs])[1:] if runs else np.zeros(0, np.uint64)
-        joined = np.concatenate([pairs(r) for r in runs]) if runs else words
-        group = self.group.value
-        one, back = np.unique(words, return_inverse=True)
-        exact, own = group.exact(one)[back], group.level(one, 0)[back]
-        two, back = np.unique(joined, return_inverse=True)
-        pair = group.level(two, 1)[back]
-        known = batch.column("known").to_pylist()
-        if any(known):
-            exact = np.maximum(exact, np.frombuffer(b"".join(k[: 8 * n] for k, n in zip(known, sizes.tolist(), strict=True)), np.uint64))
-            own = np.maximum(own, np.frombuffer(b"".join(k[8 * n : 9 * n] for k, n in zip(known, sizes.tolist(), strict=True)), np.uint8))
-            pair = np.maximum(pair, np.frombuffer(b"".join(k[9 * n :] for k, n in zip(known, sizes.tolist(), strict=True)), np.uint8))
+    def columns(self, sizes: np.ndarray, exact: np.ndarray, own: np.ndarray, pair: np.ndarray, ends: int) -> list[pa.Array]:
         begin = np.cumsum(sizes) - sizes
-        if not self.last:
-            rows = [exact[b : b + n].tobytes() + own[b : b + n].tobytes() + pair[b : b + n].tobytes() for b, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("text"), pa.array(rows, pa.binary())], ["doc_id", "held_out", "text", "known"])
-        below = self.total + ALPHA * (self.types + 1)
-        base = np.log10((exact.astype(np.float64) + ALPHA) / below)
+        base = np.log10((exact.astype(np.float64) + ALPHA) / self.below)
         count = LEVEL_COUNT[own]
-        single = (count + ALPHA) / below
+        single = (count + ALPHA) / self.below
         # the count before a text's first token is that of its starts, which is that of the ends
-        ends = LEVEL_COUNT[group.level(np.array([END], np.uint64), 0)[0]] if not any(known) else LEVEL_COUNT[own[begin + sizes - 1].max(initial=0)]
-        context = np.concatenate([[ends], count[:-1]]) if len(count) else count
-        context[begin] = ends
+        context = np.concatenate([[LEVEL_COUNT[ends]], count[:-1]]) if len(count) else count
+        context[begin] = LEVEL_COUNT[ends]
         both = np.minimum(LEVEL_COUNT[pair], context)
         scores = np.log10((both + MU * single) / (context + MU))
         add = lambda x: np.add.reduceat(x, begin) if len(begin) else x
-        n = batch.num_rows
-        columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, pa.int64()), pa.array(add((exact > 0).astype(np.int64)), pa.int64()), pa.array(np.full(n, self.total), pa.int64()), pa.array(add(base), pa.float64()), pa.array(add(scores), pa.float64())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        known = add((exact > 0).astype(np.int64))
+        return [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(sizes), self.total), pa.int64()), pa.array(add(base), pa.float64()), pa.array(add(scores), pa.float64())]
+
+
+RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+class _Local:
+    """Documents scored by a model that each worker holds."""
+
+    def __init__(self, group, scores: Scores):
+        self.group, self.scores = group, scores
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = self.group.value
+        ends = int(group.level(np.array([END], np.uint64), 0)[0])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                runs = [tokens(t.as_py()) for t in part.column("text")]
+                sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+                one, back = np.unique(np.concatenate(runs), return_inverse=True)
+                two, pair_back = np.unique(np.concatenate([pairs(r) for r in runs]), return_inverse=True)
+                columns = self.scores.columns(sizes, group.exact(one)[back], group.level(one, 0)[back], group.level(two, 1)[pair_back], ends)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *columns], RESULT)
+
+
+class _Bundle:
+    """Documents to bundles of about so many tokens: bundle (a random number), ids, flags, sizes and word hashes."""
+
+    def __init__(self, most: int):
+        self.most = most
 
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, flags, runs, held = [], [], [], 0
+        for batch in batches:
+            for doc_id, flag, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True):
+                ids.append(doc_id)
+                flags.append(flag)
+                runs.append(tokens(text.as_py()))
+                held += len(runs[-1])
+                if held >= self.most:
+                    yield self.row(ids, flags, runs)
+                    ids, flags, runs, held = [], [], [], 0
+        if ids:
+            yield self.row(ids, flags, runs)
+
+    def row(self, ids, flags, runs) -> pa.RecordBatch:
+        number = int.from_bytes(os.urandom(8), "little", signed=True)
+        columns = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())), pa.array([list(map(len, runs))], pa.list_(pa.int64())), pa.array([np.concatenate(runs).tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["bundle", "ids", "flags", "sizes", "words"])
+
+
+def grams_of(sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word hashes (with the end) and distinct pair hashes of a bundle, in order."""
+    one = np.unique(np.append(words, np.uint64(END)))
+    return one, np.unique(np.concatenate([pairs(r) for r in np.split(words, np.cumsum(sizes)[:-1])]))
+
+
+class _Ask:
+    """Bundles to rows (part, bundle, kind, hashes) of their distinct n-grams."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for kind, hashes in enumerate(grams_of(np.array(row["sizes"]), np.frombuffer(row["words"], np.uint64))):
+                    part = (hashes >> np.uint64(64 - self.bits)).astype(np.int32)
+                    first = np.flatnonzero(np.diff(part, prepend=-1))
+                    runs = [h.tobytes() for h in np.split(hashes, first[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([row["bundle"]] * len(first)), pa.array([kind] * len(first), pa.int32()), pa.array(runs, pa.binary())], ["part", "bundle", "kind", "hashes"])
+
+
+class _Answer:
+    """What a part reads of the n-grams that it was asked for: (part, bundle, kind, levels, exact)."""
+
+    def __init__(self, shift: int):
+        self.shift = shift
 
-def scored(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    def __call__(self, asked: pa.Table, part: pa.Table) -> pa.Table:
+        group = Group(self.shift, part.to_pylist())
+        levels_read, exact = [], []
+        for kind, hashes in zip(asked.column("kind").to_pylist(), asked.column("hashes").to_pylist(), strict=True):
+            hashes = np.frombuffer(hashes, np.uint64)
+            levels_read.append(group.level(hashes, kind).tobytes())
+            exact.append(group.exact(hashes).tobytes() if not kind else b"")
+        columns = [asked.column(c).cast(t) for c, t in (("part", pa.int32()), ("bundle", pa.int64()), ("kind", pa.int32()))]
+        return pa.table([*columns, pa.array(levels_read, pa.binary()), pa.array(exact, pa.binary())], ["part", "bundle", "kind", "levels", "exact"])
+
+
+class _Gather:
+    """A bundle and the answers to it to the scores of its documents."""
+
+    def __init__(self, scores: Scores):
+        self.scores = scores
+
+    def __call__(self, bundles: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part").to_pydict()
+        read = lambda c, kind, t: np.frombuffer(b"".join(x for x, k in zip(answers[c], answers["kind"], strict=True) if k == kind), t)
+        own, exact, pair = read("levels", 0, np.uint8), read("exact", 0, np.uint64), read("levels", 1, np.uint8)
+        out = []
+        for row in bundles.to_pylist():
+            sizes, words = np.array(row["sizes"], np.int64), np.frombuffer(row["words"], np.uint64)
+            one, two = grams_of(sizes, words)
+            at = np.searchsorted(one, words)
+            joined = np.searchsorted(two, np.concatenate([pairs(r) for r in np.split(words, np.cumsum(sizes)[:-1])]))
+            columns = self.scores.columns(sizes, exact[at], own[at], pair[joined], int(own[np.searchsorted(one, np.uint64(END))]))
+            out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(row["flags"], pa.bool_()), *columns], RESULT))
+        return pa.concat_tables(out)
+
+
+def scored(docs: DataFrame, group_bytes: int = GROUP_BYTES, bundle: int = BUNDLE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = docs.sparkSession
     df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     df = df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)))
     bits = max(1, (docs.count() // PART_DOCS).bit_length())
     rows = df.filter(~F.col("held_out")).select("text").mapInArrow(_Count(bits), "part int, kind int, hashes binary, counts binary")
+    rows = rows.repartition(max(1, (1 << bits) // TASK_PARTS), "part")  # as many tasks as parts ask for, at any size
     parts = rows.groupBy("part").applyInArrow(model_part, "part int, size bigint, words binary, counts binary, bits binary, total bigint, types bigint")
     parts = common.checkpoint(parts)
     weight = F.octet_length("words") + F.octet_length("counts") + F.octet_length("bits")
-    known = sorted((r[0], r[1]) for r in parts.select("part", weight).collect())
-    total, types = parts.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    groups: list[list[int]] = [[]]
-    held = 0
-    for part, size in known:
-        if groups[-1] and held + size > group_bytes:
-            groups.append([])
-            held = 0
-        groups[-1].append(part)
-        held += size
-    df = df.select("doc_id", "held_out", "text", F.lit(None).cast("binary").alias("known"))
-    for n, group in enumerate(groups):
-        mine = parts.filter(F.col("part").between(group[0], group[-1])) if group else parts.limit(0)
-        shared = spark.sparkContext.broadcast(Group(64 - bits, mine.toLocalIterator()))
-        last = n + 1 == len(groups)
-        schema = "doc_id bigint, held_out boolean, " + ("n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" if last else "text string, known binary")
-        df = df.mapInArrow(_Pass(shared, last, total, types), schema)
-        if not last:
-            df = common.checkpoint(df)
-            shared.unpersist()
-    return df
+    total, types, size = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "types", weight)]).first()
+    scores = Scores(total, types)
+    if size <= group_bytes:
+        shared = spark.sparkContext.broadcast(Group(64 - bits, parts.toLocalIterator()))
+        return df.select("doc_id", "held_out", "text").mapInArrow(_Local(shared, scores), SCHEMA)
+    bundles = df.select("doc_id", "held_out", "text").mapInArrow(_Bundle(bundle), "bundle bigint, ids array<bigint>, flags array<boolean>, sizes array<bigint>, words binary")
+    bundles = common.checkpoint(bundles)
+    asked = bundles.select("bundle", "sizes", "words").mapInArrow(_Ask(bits), "part int, bundle bigint, kind int, hashes binary")
+    answer, gather = _Answer(64 - bits), _Gather(scores)
+    answers = asked.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(lambda a, b: answer(a, b), "part int, bundle bigint, kind int, levels binary, exact binary")
+    return bundles.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(lambda a, b: gather(a, b), SCHEMA)
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:

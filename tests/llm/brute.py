@@ -1,9 +1,13 @@
 """Plain versions of the corpus operators, one value after the other, to hold the operators against."""
 
+import collections
 import datetime as dt
 import hashlib
+import math
 import re
 
+import xxhash
+
 from ledgerlight.llm import pii
 
 
@@ -164,3 +168,65 @@ def pseudonymised(text, key=pii.KEY):
         return new
 
     return re.sub(pii.ANY, replaced, text).replace(pii.MARK, ""), changed
+
+
+FULL = (1 << 64) - 1
+
+
+def scrambled(x, k=0):
+    x = (x + 0x9E3779B97F4A7C15 * (k + 1)) * 0xBF58476D1CE4E5B9 & FULL
+    x ^= x >> 29
+    x = x * 0x94D049BB133111EB & FULL
+    return x ^ (x >> 32)
+
+
+class BloomScores:
+    """The log-frequency filter as sets of bits, and the scores that are read from it, one token after the other."""
+
+    END, START = xxhash.xxh64_intdigest(b" end"), xxhash.xxh64_intdigest(b" start")
+
+    def __init__(self, training, n_docs):
+        self.bits = max(1, (n_docs // 1024).bit_length())
+        self.words, pairs = collections.Counter(), collections.Counter()
+        for text in training:
+            run = self.run(text)
+            self.words.update(run)
+            pairs.update(self.pairs(run))
+        self.total, self.types = sum(self.words.values()), len(self.words)
+        grams = [(0, h, c) for h, c in self.words.items()] + [(1, h, c) for h, c in pairs.items()]
+        level = lambda c: 1 + math.floor(math.log(c) / math.log(1.5) + 1e-9)
+        entries = collections.Counter()
+        for _, h, c in grams:
+            entries[h >> 64 - self.bits] += level(c)
+        self.size = {p: max(64, 10 * n) for p, n in entries.items()}
+        self.filter = {(h >> 64 - self.bits, bit) for kind, h, c in grams for j in range(1, level(c) + 1) for bit in self.probes(kind, h, j)}
+
+    def run(self, text):
+        return [xxhash.xxh64_intdigest(w) for w in (text or "").encode().lower().split()] + [self.END]
+
+    def pairs(self, run):
+        return [scrambled(a * 0xD6E8FEB86659FD93 + b & FULL, 7) for a, b in zip([self.START, *run], run)]
+
+    def probes(self, kind, h, j):
+        item = scrambled(h ^ (0x5851F42D4C957F2D * (kind + 1) & FULL), 11) + scrambled(j, 13) & FULL
+        step = scrambled(item, 3) | 1
+        size = self.size[h >> 64 - self.bits]
+        return [((item + i * step & FULL) >> 32) * size >> 32 for i in range(6)]
+
+    def count(self, kind, h):
+        """The middle of the range of counts that the highest level stands for whose bits are all set."""
+        part, j = h >> 64 - self.bits, 0
+        while part in self.size and all((part, bit) in self.filter for bit in self.probes(kind, h, j + 1)):
+            j += 1
+        return j and (math.ceil(1.5 ** (j - 1) - 1e-9) + math.ceil(1.5**j - 1e-9) - 1) / 2
+
+    def score(self, text):
+        """Tokens, known tokens, base score and score."""
+        run, below = self.run(text), self.total + 0.1 * (self.types + 1)
+        base = sum(math.log10((self.words[h] + 0.1) / below) for h in run)
+        score, context = 0.0, self.count(0, self.END)
+        for h, pair in zip(run, self.pairs(run)):
+            own = self.count(0, h)
+            score += math.log10((min(self.count(1, pair), context) + 20 * (own + 0.1) / below) / (context + 20))
+            context = own
+        return len(run), sum(self.words[h] > 0 for h in run), base, score

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import brute
+
 from ledgerlight.llm import language_id, language_model, suffix_dedup, tokens
 
 
@@ -43,17 +45,18 @@ def test_repeated_strings(spark, crowd):
 
 def test_language_model(spark):
     rnd = random.Random(8)
-    rows = [(k, " ".join(rnd.choice("The cat sat on a mat É".split()) for _ in range(rnd.randint(0, 40)))) for k in range(120)] + [(None, "cat"), (500, None), (500, None)]
+    rows = [(k, " ".join(rnd.choice("The cat sat on a mat É".split()) for _ in range(rnd.randint(0, 40)))) for k in range(120)] + [(None, "cat"), (500, None), (500, None), (501, "long " * 30000)]
+    rows += [(1000 + k, " ".join(f"w{int(rnd.paretovariate(0.7)) % 3000}" for _ in range(rnd.randint(0, 30)))) for k in range(2500)]
     held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
-    runs = [[*(t or "").encode().lower().split(), None] for _, t in rows]
-    count = collections.Counter(w for r, h in zip(runs, held) if not h for w in r)
-    n, v = sum(count.values()), len(count)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = sorted((str(i), h, len(r), sum(count[w] > 0 for w in r), n, round(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in r), 6)) for (i, _), h, r in zip(rows, held, runs))
-    for size in (1 << 30, 10):
-        got = language_model.scored(df, group_bytes=size).collect()
-        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-        assert all(r.score < 0 for r in got)
+    model = brute.BloomScores([t for (_, t), h in zip(rows, held) if not h], len(rows))
+    assert model.bits == 2
+    want = sorted((str(i), h, model.total, *model.score(t)) for (i, t), h in zip(rows, held))
+    df = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, score string, words double").repartition(3)
+    for size, bundle in ((1 << 30, 1), (10, 1 << 20), (10, 500)):
+        got = sorted((str(r.doc_id), r.held_out, r.train_tokens, r.n_tokens, r.n_known, r.base_score, r.score) for r in language_model.scored(df, size, bundle).collect())
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
     assert language_model.scored(df.limit(0)).count() == 0
 
 
