@@ -15,8 +15,8 @@ read as marks, and the original comes back exactly.
 
 Defined results: null texts and roles are empty; a null kind is a ``delta``; a
 null conv_id is a conversation of its own; events of equal seq are taken in the
-order of kind, role and text; repeated rows repeat; an empty log gives an empty
-result.
+order of kind, role and text; repeated rows repeat; texts of any length are
+whole; other columns are not read; an empty log gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,11 +95,21 @@ def parsed(formatted: Column) -> Column:
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """Finished conversations as a log: each row opens a message and streams its text."""
+    """Finished conversations as the log that may have led to them.
+
+    Each row opens a message and streams its text in two halves.  Before that
+    every third message streams a draft, which is discarded and generated again;
+    every fifth ends in a slip, which is edited to the text.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     df = conversations.select("conv_id", "role", "text", F.row_number().over(order).cast("bigint").alias("turn"))
-    event = lambda kind, seq, text: F.struct(seq.alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
-    events = F.array(event("start", 2 * F.col("turn"), F.lit("")), event("delta", 2 * F.col("turn") + 1, F.col("text")))
+    half, plain = F.floor(F.length("text") / 2).cast("int"), F.col("text")
+    event = lambda k, kind, text: F.struct((8 * F.col("turn") + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    told = F.array(event(0, "start", F.lit("")), event(4, "delta", F.substring(plain, F.lit(1), half)), event(5, "delta", F.substring(plain, half + 1, F.length(plain))))
+    draft = F.when(F.col("turn") % 3 == 0, F.array(event(1, "delta", F.lit("draft <turn>")), event(2, "regenerate", F.lit(""))))
+    slip = F.when(F.col("turn") % 5 == 0, F.array(event(6, "delta", F.lit(" slip")), event(7, "edit", plain)))
+    none = F.array().cast("array<struct<seq:bigint,kind:string,text:string>>")
+    events = F.concat(told, F.coalesce(draft, none), F.coalesce(slip, none))
     return df.select("conv_id", "turn", "role", F.explode_outer(events).alias("e")).select("conv_id", "e.seq", "turn", "e.kind", F.when(F.col("e.kind") == "start", F.col("role")).alias("role"), "e.text")
 
 

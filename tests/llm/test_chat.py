@@ -28,3 +28,13 @@ def test_escapes_round_trip(spark):
         assert len(r.loss) == 1 and r.formatted[r.loss[0].begin : r.loss[0].end].replace("\\l", "<").replace("\\e", "\\") == t
     assert got[len(hard)].turns[0].role == "a\nb<\\n"
     assert read(spark, []) == {}
+
+
+def test_log_of_finished_conversations(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"text <{c}> {t} é" * (t % 4)) for c in range(4) for t in range(20)] + [(9, 0, None, None), (9, 1, "assistant", "x" * 200000), (9, 1, "assistant", "x" * 200000), (None, 0, "user", "n")]
+    df = spark.createDataFrame([(*r, "e", 1) for r in rows], "conv_id long, turn long, role string, text string, kind string, seq int")
+    log = chat.log_of(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"start", "delta", "edit", "regenerate"}
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.rendered(chat.messages(log)).withColumn("turns", chat.parsed(F.col("formatted"))).collect()}
+    want = {c: [(r or "", t or "") for _, r, t in sorted(((t, r or "", x or "") for k, t, r, x in rows if k == c))] for c, *_ in rows}
+    assert got == want
