@@ -71,7 +71,7 @@ class Counts:
         """Pieces on the best path of one stretch, from rings of scores and counts as long as the longest piece."""
         n, ring = len(text), self.longest + 1
         score, count = [0.0] * ring, [0] * ring
-        matches = self.automaton.iter(text)
+        matches = self.automaton.iter(text) if len(self.automaton) else iter(())
         waiting = next(matches, None)
         for end in range(n):
             found = []

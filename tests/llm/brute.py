@@ -230,3 +230,80 @@ class BloomScores:
             score += math.log10((min(self.count(1, pair), context) + 20 * (own + 0.1) / below) / (context + 20))
             context = own
         return len(run), sum(self.words[h] > 0 for h in run), base, score
+
+
+def letter_grams(text):
+    """Buckets and counts of the n-grams of 1 to 3 letters."""
+    plain = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split())
+    out = collections.Counter()
+    if plain:
+        plain = f" {plain} "
+        for n in (1, 2, 3):
+            for k in range(len(plain) - n + 1):
+                x = n
+                for c in plain[k : k + n]:
+                    x = (x ^ ord(c)) * 0x9E3779B97F4A7C15 & FULL
+                    x ^= x >> 29
+                out[x % (1 << 14)] += 1
+    return out
+
+
+class Languages:
+    """The softmax regression by FTRL-proximal, one weight after the other, on ``training`` (text, language) without a bound."""
+
+    def __init__(self, training):
+        held = collections.Counter()
+        texts = 0
+        for text, _ in training:
+            grams = letter_grams(text)
+            held.update(grams.keys())
+            texts += bool(grams)
+        self.idf = lambda b: math.log((1 + texts) / (1 + held[b])) + 1
+        self.names = sorted({lang for _, lang in training})
+        signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+        order = sorted({(signed(t), lang, t) for t, lang in training})
+        known = [(x, self.names.index(lang)) for _, lang, t in order if (x := self.features(t))]
+        self.z, self.n = collections.defaultdict(float), collections.defaultdict(float)
+        for _ in range(6):
+            for k, (x, label) in enumerate(known):
+                if k % 5 or len(known) < 10:
+                    self.learn(x, label)
+        calibration = [(self.logits(x), label) for k, (x, label) in enumerate(known) if k % 5 == 0]
+        low, high = -4.0, 3.0
+        ratio = (5**0.5 - 1) / 2
+        loss = lambda q: sum(math.log(sum(math.exp(v / math.exp(q)) for v in z)) - z[y] / math.exp(q) for z, y in calibration)
+        for _ in range(40 if calibration else 0):
+            a, b = high - ratio * (high - low), low + ratio * (high - low)
+            low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+        self.heat = math.exp((low + high) / 2) if calibration else 1.0
+
+    def features(self, text):
+        x = {b: (1 + math.log(n)) * self.idf(b) for b, n in letter_grams(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {b: v / norm for b, v in x.items()}
+
+    def weight(self, b, c):
+        z = self.z[b, c]
+        return 0.0 if abs(z) <= 1e-3 else -(z - math.copysign(1e-3, z)) / ((1 + math.sqrt(self.n[b, c])) / 0.8 + 1e-3)
+
+    def logits(self, x):
+        return [sum(v * self.weight(b, c) for b, v in x.items()) for c in range(len(self.names))]
+
+    def chances(self, logits):
+        e = [math.exp(v) for v in logits]
+        return [v / sum(e) for v in e]
+
+    def learn(self, x, label):
+        p = self.chances(self.logits(x))
+        for c in range(len(p)):
+            for b, v in x.items():
+                g, n = v * (p[c] - (c == label)), self.n[b, c]
+                self.z[b, c] += g - (math.sqrt(n + g * g) - math.sqrt(n)) / 0.8 * self.weight(b, c)
+                self.n[b, c] = n + g * g
+
+    def predict(self, text):
+        x = self.features(text)
+        if not x or not self.names:
+            return "und", 0.0
+        p = self.chances([v / self.heat for v in self.logits(x)])
+        return self.names[p.index(max(p))], max(p)

@@ -37,7 +37,8 @@ def test_repeated_strings(spark, crowd):
     base = text(600)
     rows = [(1, base), (2, text(90) + base[100:350] + text(50)), (3, base), (None, base), (4, None), (5, ""), (6, "ab" * 300), (7, "x" * 250), (8, base[:199]), (9, text(400)), (9, text(400)), (3, base)]
     rows += [(20 + k, text(220) + base[30 : 150 + 5 * k] + text(220)) for k in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(70, text(120000)), (71, "z" * 30000), (72, rows[-1][1] * 2)]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "doc_id long, text string, ctx string, spans int").repartition(4)
     got = sorted((str(r.doc_id), *tuple(r)[1:]) for r in suffix_dedup.cleaned(df, crowd=crowd).collect())
     assert got == brute_clean(rows)
     assert suffix_dedup.cleaned(df.limit(0)).count() == 0
@@ -89,6 +90,33 @@ def test_language_identification(spark):
     assert language_id.identified(df.limit(0)).count() == 0
 
 
+def test_language_against_brute_force(spark):
+    rnd = random.Random(15)
+    alphabets = {"xx": "abcdeé", "yy": "efghij", "zz": "jklmnaж", "ww": "abcdefghijklmn"}
+    text = lambda letters: "".join(rnd.choice(letters + " 1½.") for _ in range(rnd.randint(1, 60)))
+    rows = [(k, text(alphabets[lang]), lang) for k in range(140) for lang in [rnd.choice(sorted(alphabets))]]
+    rows += [(200, "½ ² Ⅷ", "xx"), (201, None, "xx"), (202, "", "xx"), (203, "abc", None), (None, "abc", "xx"), (204, rows[0][1], rows[0][2]), (0, rows[0][1], "zz"), (205, "Ab " * 30000, None)]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in rows]
+    model = brute.Languages([(t, lang) for (_, t, lang), h in zip(rows, held) if not h and t is not None and lang is not None])
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, score int, lang_pred string")
+    got = sorted((str(r.doc_id), r.held_out, r.lang_pred, r.score) for r in language_id.identified(df).collect())
+    want = sorted((str(i), h, *model.predict(t)) for (i, t, _), h in zip(rows, held))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-6)
+    assert ("200", held[140], "und", 0.0) in got
+
+
+def test_every_language_is_learned(spark):
+    rows = [(2000 * k + j, f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} {chr(0x6E00 + (k * 7 + j) % 50)}", f"l{k:03d}") for k in range(300) for j in range(6)]
+    got = language_id.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    assert len({r.lang_pred for r in got}) > 290 and np.mean([r.lang_pred == want[r.doc_id] for r in got]) > 0.95
+
+
+def test_few_texts_among_many_rows_are_learned(spark):
+    df = spark.range(60000).selectExpr("id AS doc_id", "CASE WHEN id % 3 > 0 THEN concat('efgh hij ', chr(int(101 + id % 5))) ELSE concat('abcd ', conv(id, 10, 4)) END AS text", "CASE WHEN id % 3 > 0 THEN 'yy' ELSE 'xx' END AS lang")
+    assert language_id.identified(df).filter("lang_pred <> CASE WHEN doc_id % 3 > 0 THEN 'yy' ELSE 'xx' END").count() == 0
+
+
 def test_language_sample_counts_copies_once(spark):
     rnd = random.Random(12)
     word = lambda letters: "".join(rnd.choice(letters + " ") for _ in range(200))
@@ -114,9 +142,12 @@ def test_token_counts_equal_the_tokenizer(spark):
             p.score = -rnd.randint(1, 64) / 8  # many ties, and sums that single precision holds
     model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     counts = tokens.Counts([(p.piece, p.score) for p in proto.pieces if p.type == 1], kept=50)
+    whole = tokens.Counts([(p.piece, p.score) for p in proto.pieces if p.type == 1] + [("never\u2581here", -1000.0)])
     texts = ["".join(rnd.choice(["a", "th", "e ", "  ", "\n", "é", "😀", "ing ", "一", "x", "\t"]) for _ in range(rnd.randint(0, 80))) for _ in range(400)]
     for text in [*texts, "", " ", "word " * 500]:
-        assert counts(text) == len(model.encode(text)), repr(text)
-    df = spark.createDataFrame([(1, "the cat"), (2, None), (None, ""), (1, "the cat")], "doc_id long, text string")
+        assert counts(text) == whole(text) == len(model.encode(text)), repr(text)
+    assert counts("x" * 300000) > 0 and counts("一" * 1000) == len(model.encode("一" * 1000))
+    df = spark.createDataFrame([(1, "the cat", 5), (2, None, 5), (None, "", 5), (1, "the cat", 6)], "doc_id long, text string, n_tokens int")
     got = sorted((str(r.doc_id), r.n_tokens) for r in tokens.token_counts(df, tokens.vocabulary()).collect())
     assert got[0] == got[1] and got[0][1] > 0 and got[2:] == [("2", 0), ("None", 0)]
+    assert tokens.token_counts(df.limit(0), tokens.vocabulary()).count() == 0 and tokens.Counts([])("né") == 6
