@@ -24,6 +24,7 @@ whole; other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 from collections.abc import Iterator
@@ -165,6 +166,20 @@ def model_part(table: pa.Table) -> pa.Table:
     )
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part to the model of each part; one is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        for rows in (batch.slice(a, b - a) for a, b in itertools.pairwise([*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)])):
+            if held and held[-1].column("part")[0] != rows.column("part")[0]:
+                yield from model_part(pa.Table.from_batches(held)).to_batches()
+                held = []
+            held.append(rows)
+    if held:
+        yield from model_part(pa.Table.from_batches(held)).to_batches()
+
+
 class Group:
     """Parts of the model that are in memory together, of a contiguous range of part numbers."""
 
@@ -348,8 +363,9 @@ def scored(docs: DataFrame, group_bytes: int = GROUP_BYTES, bundle: int = BUNDLE
     df = df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)))
     bits = max(1, (docs.count() // PART_DOCS).bit_length())
     rows = df.filter(~F.col("held_out")).select("text").mapInArrow(_Count(bits), "part int, kind int, hashes binary, counts binary")
-    rows = rows.repartition(max(1, (1 << bits) // TASK_PARTS), "part")  # as many tasks as parts ask for, at any size
-    parts = rows.groupBy("part").applyInArrow(model_part, "part int, size bigint, words binary, counts binary, bits binary, total bigint, types bigint")
+    # equally many parts for each task, at any size of the corpus
+    rows = rows.repartitionById(max(1, (1 << bits) // TASK_PARTS), F.shiftright("part", TASK_PARTS.bit_length() - 1)).sortWithinPartitions("part")
+    parts = rows.mapInArrow(_parts, "part int, size bigint, words binary, counts binary, bits binary, total bigint, types bigint")
     parts = common.checkpoint(parts)
     weight = F.octet_length("words") + F.octet_length("counts") + F.octet_length("bits")
     total, types, size = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("total", "types", weight)]).first()
