@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,9 +27,8 @@ def cleaned(name: Column) -> Column:
 
 
 def cleaned_any(name: Column) -> Column:
-    """As :func:`cleaned`, for names of any script: those beyond ASCII are decomposed by an Arrow function first."""
-    name = F.coalesce(name, F.lit(""))
-    return _stripped(F.when(name.rlike(r"[^\x00-\x7F]"), _decomposed(name)).otherwise(name))
+    """As :func:`cleaned`, for names of any script: those beyond ASCII are decomposed by an Arrow function first, which sees no others."""
+    return _stripped(F.coalesce(_decomposed(F.when(name.rlike(r"[^\x00-\x7F]"), name)), name, F.lit("")))
 
 
 def _stripped(name: Column) -> Column:
@@ -51,7 +51,8 @@ def display(cleaned_name: Column) -> Column:
 
 
 def normalized(name: Column) -> Column:
-    return display(cleaned(name))
+    """A raw name of any script, cleaned and in the form that is shown."""
+    return display(cleaned_any(name))
 
 
 def header(name: str) -> str:
@@ -81,9 +82,27 @@ def name_category(name: Column) -> Column:
 
 
 def keyword_category(raw: Column) -> Column:
+    """The first pattern that the raw name holds decides.
+
+    The alternatives of the patterns are looked for one by one in the text in
+    lower case, as plain text wherever they are that; of those with a gap
+    (``a.*b``) the parts are looked for first.
+    """
+    lower = F.lower(raw)
+
+    def found(alternative: str) -> Column:
+        plain = alternative.replace(r"\b", "").replace("?", "")
+        if plain == alternative and ".*" not in alternative and "\\" not in alternative:
+            return lower.contains(alternative)
+        if ".*" in alternative:
+            parts = [lower.contains(p) for p in alternative.split(".*")]
+            # on the text itself: its line breaks end a gap
+            return reduce(lambda a, b: a & b, parts) & raw.rlike("(?i)" + alternative)
+        return raw.rlike("(?i)" + alternative)
+
     out = F
     for pattern, category in fixed.KEYWORDS:
-        out = out.when(raw.rlike("(?i)" + pattern), category)
+        out = out.when(reduce(lambda a, b: a | b, map(found, pattern.split("|"))), category)
     return out.otherwise("general")
 
 

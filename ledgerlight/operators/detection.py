@@ -1,28 +1,34 @@
 """Unusual charges: amount tiers, billing cycles, expected amounts and scores.
 
-A service's charges meet in one row, ordered by date and input order, and each
-charge from the third on is judged against those before it.  One shuffle, on
-the service key; what follows is array expressions.  Each step is a column of
-its own, since an expression inside a lambda runs once for each element.
+A service's charges meet in one partition, ordered by date and input order, and
+each charge from the third on is judged against those before it.  One shuffle,
+on the service key; one pass over the charges in Arrow batches keeps the tiers
+of a service up and hands on a short baseline for each charge; all else is
+expressions.  Each step is a column of its own, since an expression inside a
+lambda runs once for each element.
 
 Rounding is half up.  A 29 February compares with 28 February a year before.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import fixed
-from ledgerlight.functions.plan import fenced
+from ledgerlight.functions.plan import fenced, quoted
+from ledgerlight.functions.text import normalized
 
 TOLERANCE = 0.30
 #: Charges that make a pattern, and the share of gaps that have to fit its cycle.
 LEAST, FIT = 2, 0.60
 SEASON_DAYS = 30
-CHARGE = "struct<amount:double,date:date,seq:bigint,id:string>"
 
 
 def rules(spark) -> DataFrame:
@@ -65,21 +71,147 @@ def median(sorted_values: Column) -> Column:
     return F.when(n % 2 == 1, high).otherwise((low + high) / 2)
 
 
-def tiers(by_amount: Column, item: str = CHARGE, positive_only: bool = True) -> Column:
-    """Greedy tiers of charges in order of amount: array of (rep, items); rep is the least amount of the tier.
+def sorted_by(txns: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Each key's charges (keys, date, seq, amount, id and the other columns) in order in one partition; charges without date or amount are none."""
+    rest = [c for c in txns.columns if c not in (*keys, "date", "seq", "amount", "transaction_id", "id")]
+    df = txns.filter(F.col("date").isNotNull() & F.col("amount").isNotNull())
+    df = df.select(*keys, "date", F.col("seq").cast("bigint").alias("seq"), F.col("amount").cast("double").alias("amount"), F.col("transaction_id").cast("string").alias("id"), *rest)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
-    With ``positive_only`` a charge of no positive amount is a tier of its own;
-    else only a zero is, and a negative least amount takes all that follow.
+
+class _Tier:
+    """A column of tiers for rows in order of key and amount.  All that is kept is the key and the least amount of the open tier."""
+
+    def __init__(self, keys: int, positive_only: bool):
+        self.keys, self.positive_only = keys, positive_only
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tier, rep = None, 0, 0.0
+        for batch in batches:
+            out = []
+            for *now, amount in zip(*(batch.column(k).to_pylist() for k in range(self.keys)), batch.column("amount").to_pylist(), strict=True):
+                opened = rep > 0 if self.positive_only else rep != 0
+                if now != key:
+                    key, tier, rep = now, 0, amount
+                elif not (opened and abs(amount - rep) / rep <= TOLERANCE):
+                    tier, rep = tier + 1, amount
+                out.append(tier)
+            yield batch.append_column("tier", pa.array(out, pa.int32()))
+
+
+def tiered(txns: DataFrame, keys: list[str], positive_only: bool = True) -> DataFrame:
+    """The charges (keys, date, seq, amount, id) with their tier in order of amount, from 0.
+
+    A charge joins the tier before it if it is within the tolerance of the
+    tier's least amount.  With ``positive_only`` a charge of no positive amount
+    is a tier of its own; else only a zero is, and a negative least amount takes
+    all that follow.
     """
-    open_tier = lambda rep: (rep > 0) if positive_only else (rep != 0)
+    df = sorted_by(txns, keys, "amount", "date", "seq", "id").select(*keys, "date", "seq", "amount", "id")
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema) + ", tier int"
+    return df.mapInArrow(_Tier(len(keys), positive_only), schema)
 
-    def place(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.coalesce(F.when(open_tier(last["rep"]), F.abs(x["amount"] - last["rep"]) / last["rep"] <= TOLERANCE), F.lit(False))
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["rep"].alias("rep"), F.concat(last["items"], F.array(x)).alias("items"))))
-        return F.when(joins, grown).otherwise(F.concat(done, F.array(F.struct(x["amount"].alias("rep"), F.array(x).alias("items")))))
 
-    return F.aggregate(by_amount, F.array().cast(f"array<struct<rep:double,items:array<{item}>>>"), place)
+class History:
+    """The charges of one service so far, in tiers that are kept up charge by charge.
+
+    Tiers are disjoint ranges of positive amounts, so the highest median is that
+    of the last one.  A charge that is not in reach of the tier below it opens a
+    tier, which may take over charges of the next ones; the rest stays as it is.
+    """
+
+    def __init__(self):
+        self.rows: list[tuple] = []  # (day, seq, amount, id)
+        self.days: list[int] = []
+        self.reps: list[float] = []
+        self.tiers: list[list] = []  # [places in rows, gaps that fit each cycle]
+
+    def reach(self, amount: float, rep: float) -> bool:
+        return abs(amount - rep) / rep <= TOLERANCE
+
+    def grow(self, tier: list, place: int) -> None:
+        if tier[0]:
+            gap = self.days[place] - self.days[tier[0][-1]]
+            for k, (_, low, high, _) in enumerate(fixed.CYCLES):
+                tier[1][k] += low <= gap <= high
+        tier[0].append(place)
+
+    def add(self, row: tuple) -> None:
+        place, amount = len(self.rows), row[2]
+        self.rows.append(row)
+        self.days.append(row[0])
+        if amount <= 0:
+            return
+        k = bisect.bisect_right(self.reps, amount) - 1
+        if k >= 0 and self.reach(amount, self.reps[k]):
+            self.grow(self.tiers[k], place)
+            return
+        pool, reps, tiers, j = [place], [], [], k + 1
+        while pool:
+            rep = min(self.rows[p][2] for p in pool)
+            while j < len(self.reps) and self.reach(self.reps[j], rep):
+                pool += self.tiers[j][0]
+                j += 1
+            mine: list = [[], [0] * len(fixed.CYCLES)]
+            rest = []
+            for p in sorted(pool):
+                if self.reach(self.rows[p][2], rep):
+                    self.grow(mine, p)
+                else:
+                    rest.append(p)
+            reps.append(rep)
+            tiers.append(mine)
+            pool = rest
+        self.reps[k + 1 : j], self.tiers[k + 1 : j] = reps, tiers
+
+    def recurs(self, tier: list) -> bool:
+        n = len(tier[0])
+        return n >= LEAST and max(tier[1]) / (n - 1) >= FIT
+
+    def baseline(self, amount: float, lookback: int) -> list[tuple] | None:
+        """The last charges of the tier in reach, if that recurs; without one, of the highest tier that does."""
+        k = max(0, bisect.bisect_left(self.reps, amount / (1 + TOLERANCE)) - 1)
+        while k < len(self.reps) and self.reps[k] <= amount / (1 - TOLERANCE) * 1.001:
+            if self.reach(amount, self.reps[k]):
+                return self.last(self.tiers[k], lookback) if self.recurs(self.tiers[k]) else None
+            k += 1
+        return next((self.last(t, lookback) for t in reversed(self.tiers) if self.recurs(t)), None)
+
+    def last(self, tier: list, lookback: int) -> list[tuple]:
+        return [self.rows[p] for p in tier[0][-lookback:]]
+
+    def season(self, year_ago: int, base: list[tuple]) -> list[tuple]:
+        """Charges around a day that are not in the baseline."""
+        seen = {r[3] for r in base}
+        low, high = bisect.bisect_left(self.days, year_ago - SEASON_DAYS), bisect.bisect_right(self.days, year_ago + SEASON_DAYS)
+        return [r for r in self.rows[low:high] if r[3] is not None and r[3] not in seen]
+
+
+class _Baselines:
+    """Rows in order of key, date and seq with ``base``, the charges to compare each with; rows without one are left out."""
+
+    def __init__(self, keys: int):
+        self.keys = keys
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, history = None, History()
+        for batch in batches:
+            names = ("days", "seq", "amount", "id", "lookback", "seasonal", "year_ago")
+            values = zip(*(batch.column(k).to_pylist() for k in range(self.keys)), *(batch.column(c).to_pylist() for c in names), strict=True)
+            places, bases = [], []
+            for n, (*now, day, seq, amount, id_, lookback, seasonal, year_ago) in enumerate(values):
+                if now != key:
+                    key, history = now, History()
+                base = history.baseline(amount, lookback) if len(history.rows) >= LEAST else None
+                if base is not None:
+                    places.append(n)
+                    bases.append(base + history.season(year_ago, base) if seasonal else base)
+                history.add((day, seq, amount, id_))
+            flat = [r for b in bases for r in b]
+            columns = list(zip(*flat, strict=True)) or [(), (), (), ()]
+            items = pa.StructArray.from_arrays([pa.array(columns[k], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.string()))], ["days", "seq", "amount", "id"])
+            offsets = pa.array([0, *itertools.accumulate(map(len, bases))], pa.int32())
+            yield batch.take(pa.array(places, pa.int64())).append_column("base", pa.ListArray.from_arrays(offsets, items))
 
 
 def gaps(dates: Column) -> Column:
@@ -105,29 +237,25 @@ def predictions(txns: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each charge that has a baseline: keys, the charge, and expected, lower, upper, cycle_days.
 
     ``txns``: keys (one of them ``category``), date, seq, amount, transaction_id.
+    Every service is passed once, in order; a charge's baseline is at most the
+    lookback and, for seasonal categories, the charges around the same day of
+    the year before.
     """
-    df = charges(txns, keys).join(F.broadcast(rules(txns.sparkSession).withColumnRenamed("category", "rule")), F.col("category") == F.col("rule"), "left").drop("rule")
+    df = txns.join(F.broadcast(rules(txns.sparkSession).withColumnRenamed("category", "rule")), F.col("category") == F.col("rule"), "left").drop("rule")
     df = df.fillna({"least_diff": 5.0, "least_pct": 0.20, "lookback": 6, "seasonal": False})
-    df = df.filter(F.size("all") > LEAST).withColumn("i", F.explode_outer(F.sequence(F.lit(LEAST), F.size("all") - 1)))
-    df = df.withColumn("now", F.get("all", "i")).withColumn("before", F.slice("all", F.lit(1), F.col("i"))).drop("all", "i")
-    df = df.withColumn("sorted", F.array_sort(F.transform("before", lambda t: F.struct(t["amount"].alias("amount"), t["date"].alias("date"), t["seq"].alias("seq"), t["id"].alias("id")))))
-    df = df.withColumn("tiers", tiers(F.col("sorted"))).drop("sorted")
-    by_date = lambda items: F.array_sort(F.transform(items, lambda t: F.struct(t["date"].alias("date"), t["seq"].alias("seq"), t["amount"].alias("amount"), t["id"].alias("id"))))
-    df = df.withColumn("tiers", F.transform("tiers", lambda x: F.struct(x["rep"].alias("rep"), median(F.transform(x["items"], lambda t: t["amount"])).alias("median"), by_date(x["items"]).alias("items"))))
-    df = df.withColumn("tiers", F.transform("tiers", lambda x: F.struct(*[x[k].alias(k) for k in ("rep", "median", "items")], gaps(F.transform(x["items"], lambda t: t["date"])).alias("gaps"))))
-    df = df.withColumn("tiers", F.transform("tiers", lambda x: F.struct(*[x[k].alias(k) for k in ("rep", "median", "items")], ((F.size(x["items"]) >= LEAST) & (cycle_fit(x["gaps"])["fit"] >= FIT)).alias("recurs"))))
-    amount = F.col("now.amount")
-    df = df.withColumn("same", F.get(F.filter("tiers", lambda x: (x["rep"] > 0) & (F.abs(amount - x["rep"]) / x["rep"] <= TOLERANCE)), F.lit(0)))
-    highest = F.array_max(F.transform(F.filter("tiers", lambda x: x["recurs"]), lambda x, k: F.struct(x["median"].alias("m"), (-k).alias("k"), x["items"].alias("items"))))
-    df = df.withColumn("base", F.when(F.col("same").isNotNull(), F.when(F.col("same.recurs"), F.col("same.items"))).otherwise(highest["items"]))
-    df = df.withColumn("base", F.slice("base", F.greatest(F.size("base") - F.col("lookback"), F.lit(0)) + 1, F.col("lookback")))
-    year_ago = F.add_months(F.col("now.date"), -12)
-    season = F.filter("before", lambda t: (F.abs(F.datediff(t["date"], year_ago)) <= SEASON_DAYS) & ~F.array_contains(F.transform("base", lambda b: b["id"]), t["id"]))
-    df = df.withColumn("base", F.when(F.col("seasonal"), F.concat("base", season)).otherwise(F.col("base")))
-    df = df.withColumn("amounts", F.array_sort(F.transform("base", lambda t: t["amount"]))).withColumn("dates", F.array_sort(F.transform("base", lambda t: t["date"])))
-    df = df.withColumn("days", gaps(F.col("dates"))).withColumn("middle", median(F.col("amounts")))
-    df = fenced(df.select(*keys, "now", "base", "least_diff", "least_pct", "extra_checks", "middle", "days"), "now", "base", "middle", "days")
-    return df.filter(F.col("base").isNotNull()).select(
+    epoch = F.lit("1970-01-01").cast("date")
+    df = df.select(
+        *keys, "date", "seq", "amount", "transaction_id", "lookback", "seasonal", "least_diff", "least_pct", "extra_checks",
+        F.datediff("date", epoch).alias("days"), F.datediff(F.add_months("date", -12), epoch).alias("year_ago"),
+    )
+    df = sorted_by(df, keys, "date", "seq", "amount", "id")
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in df.schema) + ", base array<struct<days:int,seq:bigint,amount:double,id:string>>"
+    df = df.mapInArrow(_Baselines(len(keys)), schema)
+    base = F.transform("base", lambda t: F.struct(F.date_add(epoch, t["days"]).alias("date"), t["seq"].alias("seq"), t["amount"].alias("amount"), t["id"].alias("id")))
+    now = F.struct("date", "seq", "amount", "id").alias("now")
+    df = df.select(*keys, now, base.alias("base"), "least_diff", "least_pct", "extra_checks")
+    df = df.withColumn("middle", median(F.array_sort(F.transform("base", lambda t: t["amount"])))).withColumn("days", gaps(F.array_sort(F.transform("base", lambda t: t["date"]))))
+    return fenced(df, "middle", "days").select(
         *keys, "now", "base", "least_diff", "least_pct", "extra_checks",
         cents(F.col("middle")).alias("expected"), cents(F.col("middle") * 0.90).alias("lower_bound"), cents(F.col("middle") * 1.10).alias("upper_bound"),
         cycle_fit(F.col("days"))["days"].alias("cycle_days"),
@@ -161,15 +289,21 @@ def by_severity(found: DataFrame, *then: str) -> DataFrame:
 
 def recurring_patterns(txns: DataFrame, keys: list[str]) -> DataFrame:
     """Patterns of each key: tier (order of amount), charges, cycle_days and confidence."""
-    df = charges(txns, keys)
-    df = df.select(*keys, F.array_sort(F.transform("all", lambda t: F.struct(t["amount"].alias("amount"), t["date"].alias("date"), t["seq"].alias("seq"), t["id"].alias("id")))).alias("sorted"))
-    df = df.withColumn("tiers", tiers(F.col("sorted"), positive_only=False)).select(*keys, F.posexplode_outer("tiers").alias("tier", "x"))
-    df = df.withColumn("amounts", F.transform("x.items", lambda t: t["amount"])).withColumn("dates", F.array_sort(F.transform("x.items", lambda t: t["date"])))
-    df = df.withColumn("middle", median(F.col("amounts"))).withColumn("days", gaps(F.col("dates"))).withColumn("fit", cycle_fit(F.col("days")))
-    spread = F.aggregate(F.transform("amounts", lambda a: F.abs(a - F.col("middle")) / F.nullif(F.col("middle"), F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x) / F.size("amounts")
-    steady = F.when(F.col("middle") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - spread))
-    df = fenced(df.select(*keys, "tier", "amounts", "middle", "fit", steady.alias("steady")), "amounts", "middle", "fit", "steady")
-    df = df.filter((F.size("amounts") >= LEAST) & (F.col("fit.fit") >= FIT))
-    steady = F.col("steady")
-    confidence = F.col("fit.fit") * 0.45 + steady * 0.35 + F.least(F.lit(1.0), F.size("amounts") / 6) * 0.20
-    return df.select(*keys, "tier", F.size("amounts").cast("bigint").alias("charges"), F.col("fit.days").alias("cycle_days"), F.round(confidence, 3).alias("confidence"))
+    tier = Window.partitionBy(*keys, "tier")
+    df = tiered(txns, keys, positive_only=False)
+    df = df.withColumn("gap", F.datediff("date", F.lag("date").over(tier.orderBy("date", "seq", "amount", "id")))).withColumn("middle", F.median("amount").over(tier))
+    fits = [F.count_if(F.col("gap").between(low, high)).alias(f"c{k}") for k, (_, low, high, _) in enumerate(fixed.CYCLES)]
+    df = df.groupBy(*keys, "tier").agg(
+        F.count("*").alias("charges"), F.count("gap").alias("gaps"), F.first("middle").alias("middle"), *fits,
+        F.avg(F.abs(F.col("amount") - F.col("middle")) / F.nullif(F.col("middle"), F.lit(0.0))).alias("spread"),
+    )
+    best = F.array_max(F.array(*[F.struct(F.col(f"c{k}").alias("n"), F.lit(-k).alias("rank"), F.lit(days).alias("days")) for k, (*_, days) in enumerate(fixed.CYCLES)]))
+    df = df.withColumn("best", best).withColumn("fit", F.col("best.n") / F.col("gaps")).filter((F.col("charges") >= LEAST) & (F.col("fit") >= FIT))
+    steady = F.when(F.col("middle") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.col("spread")))
+    confidence = F.col("fit") * 0.45 + steady * 0.35 + F.least(F.lit(1.0), F.col("charges") / 6) * 0.20
+    return df.select(*keys, "tier", "charges", F.col("best.days").alias("cycle_days"), F.round(confidence, 3).alias("confidence"))
+
+
+def recurring(txns: DataFrame) -> DataFrame:
+    """Patterns of charges (merchant_raw, date, seq, amount, transaction_id) by the normalized name of their payee."""
+    return recurring_patterns(txns.withColumn("merchant", normalized(F.col("merchant_raw"))), ["merchant"])

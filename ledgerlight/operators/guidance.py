@@ -65,8 +65,8 @@ def matches(names: DataFrame, guides: DataFrame) -> DataFrame:
     A match holds the other's text, or all its words; the guides go to the
     executors in blocks of bounded size, each to all names.
     """
-    aliases = guides.select("*", F.posexplode("aliases").alias("place", "alias")).withColumn("plain", text.cleaned(F.col("alias")))
-    distinct = names.select("name").distinct().withColumn("cleaned", text.cleaned(F.col("name")))
+    aliases = guides.select("*", F.posexplode("aliases").alias("place", "alias")).withColumn("plain", text.cleaned_any(F.col("alias")))
+    distinct = names.select("name").distinct().withColumn("cleaned", text.cleaned_any(F.col("name")))
     blocks = max(1, -(-aliases.count() // FEW))
     block = F.pmod(F.xxhash64("priority", "ord", "place", "alias"), F.lit(blocks))
     joined = None

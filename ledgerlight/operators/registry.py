@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import fixed
-from ledgerlight.functions.text import cleaned
+from ledgerlight.functions.text import cleaned_any
 
 SCHEMA = "service_id string, service_ord bigint, canonical_name string, category string, aliases array<string>, first_seen date, last_seen date, transaction_count bigint, confidence double, source string"
 
@@ -67,10 +67,11 @@ def seen(services: DataFrame, sightings: DataFrame) -> DataFrame:
 
 
 def adjusted(services: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Confidences after ``deltas(service_id, delta)``, within 0 and 1."""
-    sums = deltas.groupBy("service_id").agg(F.sum("delta").alias("delta"))
-    new = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence") + F.coalesce("delta", F.lit(0.0))))
-    return services.join(sums, "service_id", "left").withColumn("confidence", new).select(services.columns)
+    """Confidences after ``deltas(service_id, seq, delta)`` in order; each step stays within 0 and 1."""
+    steps = deltas.groupBy("service_id").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("steps"))
+    step = lambda c, x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c + x["delta"]))
+    new = F.when(F.col("steps").isNull(), F.col("confidence")).otherwise(F.aggregate("steps", F.col("confidence"), step))
+    return services.join(steps, "service_id", "left").withColumn("confidence", new).select(services.columns)
 
 
 def merged(services: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def upserted(table: DataFrame, new: DataFrame, key: str = "Provider", number: st
 
     The number of a replaced row stays.  ``new`` has no number.
     """
-    keyed = lambda df: df.withColumn("k", cleaned(F.col(key)))
+    keyed = lambda df: df.withColumn("k", cleaned_any(F.col(key)))
     old, fresh = keyed(table), keyed(new).dropDuplicates(["k"])
     stays = old.join(fresh.select("k"), "k", "left_anti")
     numbered = fresh.join(old.groupBy("k").agg(F.min(number).alias("n")), "k", "left")

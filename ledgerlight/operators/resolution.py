@@ -93,6 +93,11 @@ def decided(found: DataFrame) -> DataFrame:
     )
 
 
+def low_confidence(resolutions: DataFrame, below: float = 0.5) -> DataFrame:
+    """Resolutions to look at: those of less confidence."""
+    return resolutions.filter(F.col("confidence") < below)
+
+
 def exact(names: DataFrame, services: DataFrame) -> DataFrame:
     """``names(cleaned)`` that are an alias or else a name of a service: cleaned, service_ord of the first such."""
     by_alias = registry.aliases(services).select(F.lower("alias").alias("cleaned"), F.lit(0).alias("way"), "service_ord")

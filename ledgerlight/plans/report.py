@@ -5,14 +5,16 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions import text
+from ledgerlight.functions.plan import checkpoint
 from ledgerlight.operators import detection, feedback, registry, resolution
 from ledgerlight.operators.prediction import AmountModel, features
 
-KEYS = ["service", "canonical_name", "category"]
+#: Of a service: its id, name and category, and when it was met first.
+KEYS = ["service", "canonical_name", "category", "met"]
 
 
 def severity_counts(alerts: DataFrame) -> DataFrame:
@@ -45,11 +47,17 @@ def formatted() -> Column:
 
 
 def detected(txns: DataFrame, given: DataFrame | None = None, model: AmountModel | None = None) -> DataFrame:
-    """Alerts of resolved transactions, most severe first.  With a model, its bounds and expectation replace the median's."""
+    """Alerts of resolved transactions, most severe first, then by the service that was met first.
+
+    A service has one category: its own in the registry, else that of its first
+    charge.  With a model, its bounds and expectation replace the median's.
+    """
     grouped = txns.withColumn("service", F.coalesce("service_id", F.concat(F.lit("unresolved::"), "cleaned")))
-    grouped = grouped.withColumn("canonical_name", F.coalesce("canonical_name", F.nullif("cleaned", F.lit("")), F.lit("Unknown")))
-    own = text.category(F.col("merchant_raw"), F.col("category_mcc"))
-    grouped = grouped.withColumn("category", F.coalesce("service_category", own))
+    of_service = Window.partitionBy("service")
+    grouped = grouped.withColumn("own", text.category(F.col("merchant_raw"), F.col("category_mcc")))
+    first = F.min(F.struct("date", "seq", "own")).over(of_service)
+    grouped = grouped.withColumn("canonical_name", F.coalesce(F.max("canonical_name").over(of_service), F.nullif("cleaned", F.lit("")), F.lit("Unknown")))
+    grouped = grouped.withColumn("first", first).withColumn("category", F.coalesce(F.max("service_category").over(of_service), "first.own")).withColumn("met", F.struct("first.date", "first.seq"))
     predicted = detection.predictions(grouped, KEYS)
     if model is not None:
         one = [*KEYS, "now", "cycle_days"]
@@ -65,21 +73,24 @@ def detected(txns: DataFrame, given: DataFrame | None = None, model: AmountModel
         found = feedback.adjusted(found, given.withColumnRenamed("merchant", "canonical_name"), "canonical_name")
     else:
         found = found.withColumn("feedback_adjusted", F.lit(False))
-    return detection.by_severity(found.filter("severity <> 'none'"), "service", "date", "seq")
+    return detection.by_severity(found.filter("severity <> 'none'"), "met", "date", "seq").drop("met")
 
 
-def analyze(txns: DataFrame, services: DataFrame | None = None, given: DataFrame | None = None, use_ml: bool = False, seed_registry: bool = True) -> dict:
+def analyze(txns: DataFrame, services: DataFrame | None = None, given: DataFrame | None = None, use_ml: bool = False, seed_registry: bool = True, reset_registry: bool = False, reset_feedback: bool = False) -> dict:
     """Deduplicates, resolves, detects and reports.
 
     Returns DataFrames ``alerts``, ``resolutions``, ``services`` and
-    ``summary``, and the counts.  Names are resolved once.
+    ``summary``, and the counts.  Names are resolved once.  A reset leaves the
+    given registry or feedback out.
     """
+    services, given = None if reset_registry else services, None if reset_feedback else given
     spark = txns.sparkSession
     services = services if services is not None else registry.empty(spark)
     if seed_registry:
         services = registry.with_missing_seeds(services)
     once = registry.keep_last(txns, ["transaction_id"], ["date", "seq"], "seq").drop("first")
     known, after = resolution.resolved(once, services)
+    known, after = checkpoint(known), checkpoint(after)  # scored once, read by all that follows
     alerts = detected(known, given, AmountModel(spark) if use_ml else None)
     first = resolution.top_n(known, ["merchant_raw"], [F.col("seq")], 1)
     resolutions = first.select("merchant_raw", "cleaned", "canonical_name", F.col("service_category").alias("category"), "method", "confidence").orderBy("merchant_raw")

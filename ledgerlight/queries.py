@@ -98,11 +98,8 @@ item AS (SELECT t.*, w.tier, date_diff('day', lag(date) OVER (PARTITION BY servi
 
 @query(_PATTERNS % ORDERS + "x AS (SELECT 1) SELECT service, tier, count(*) AS n, round(min(amount), 2) AS least, round(max(amount), 2) AS most FROM item GROUP BY ALL")
 def amount_tiers(spark, sf_dir: str) -> DataFrame:
-    df = detection.charges(order_charges(spark, sf_dir), ["service"])
-    df = df.select("service", F.array_sort(F.transform("all", lambda t: F.struct(t["amount"].alias("amount"), t["date"].alias("date"), t["seq"].alias("seq"), t["id"].alias("id")))).alias("s"))
-    df = df.withColumn("t", detection.tiers(F.col("s"), positive_only=False)).select("service", F.posexplode_outer("t").alias("tier", "x"))
-    last = F.element_at("x.items", -1)
-    return df.select("service", "tier", F.size("x.items").cast("bigint").alias("n"), F.round("x.rep", 2).alias("least"), F.round(last["amount"], 2).alias("most"))
+    df = detection.tiered(order_charges(spark, sf_dir), ["service"], positive_only=False).groupBy("service", "tier")
+    return df.agg(F.count("*").alias("n"), F.round(F.min("amount"), 2).alias("least"), F.round(F.max("amount"), 2).alias("most"))
 
 
 @query(
@@ -506,7 +503,7 @@ def parse_rejects(spark, sf_dir: str) -> DataFrame:
     return ingest.typed(raw)[1]
 
 
-@query("SELECT o_orderkey, round(o_totalprice, 2) AS amount, 'Canva' AS merchant FROM orders WHERE o_orderkey <= 2000")
+@query("SELECT o_orderkey, round(o_totalprice, 2) AS amount, 'Canva' AS merchant FROM orders")
 def best_amount(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.sources.receipts import pasted
 

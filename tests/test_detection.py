@@ -92,6 +92,12 @@ def test_stream_equals_batch(spark, tmp_path):
         alerts.stream(charges, str(tmp_path / "history"), str(tmp_path / "alerts"), str(tmp_path / "checkpoint")).awaitTermination()
         found.append([r.transaction_id for r in spark.read.parquet(str(tmp_path / "alerts")).collect()])
     assert found == [[], ["5"]]
+    # a batch that runs again replaces itself, and an id that returns raises no alert of an earlier batch
+    again = spark.createDataFrame([("n", "general", "5", 9, 10.0, dt.date(2025, 1, 1))], df.schema)
+    for _ in range(2):
+        alerts.judge_batch(again, 2, str(tmp_path / "history"), str(tmp_path / "alerts"))
+    assert spark.read.parquet(str(tmp_path / "history")).count() == 7
+    assert spark.read.parquet(str(tmp_path / "alerts")).count() == 1
 
 
 def test_query_trains_the_whole_model(spark, monkeypatch, tmp_path):
@@ -109,3 +115,36 @@ def test_query_trains_the_whole_model(spark, monkeypatch, tmp_path):
     with pytest.raises(Seen) as seen:
         ml_predict(spark, str(tmp_path))
     assert seen.value.args == (2000, 200, 4, 0.05)
+
+
+def test_long_service_in_one_pass(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000).select(
+        F.lit("s").alias("service"), F.lit("general").alias("category"), F.col("id").cast("string").alias("transaction_id"), F.col("id").alias("seq"),
+        (F.pmod(F.xxhash64("id"), F.lit(100_000)) / 100 + 1).alias("amount"), F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+    )
+    start = time.perf_counter()
+    assert detection.predictions(df, ["service", "category"]).count() >= 0 and time.perf_counter() - start < 60
+
+
+def test_tiers_kept_up_equal_tiers_made_anew():
+    rnd = random.Random(16)
+    for _ in range(300):
+        history, rows = detection.History(), []
+        for k in range(rnd.randint(1, 40)):
+            row = (k * rnd.choice([1, 30]), k, rnd.choice([0.0, -5.0, rnd.uniform(1, 9), rnd.uniform(1, 500), 10.0, 13.0]), str(k))
+            rows.append(row)
+            history.add(row)
+            tiers = []
+            for r in sorted((r for r in rows if r[2] > 0), key=lambda r: (r[2], r[1])):
+                if tiers and (r[2] - tiers[-1][0]) / tiers[-1][0] <= 0.3:
+                    tiers[-1][1].append(r[1])
+                else:
+                    tiers.append((r[2], [r[1]]))
+            assert history.reps == [t[0] for t in tiers] and [t[0] for t in history.tiers] == [sorted(t[1]) for t in tiers]
+            for t in history.tiers:
+                days = [history.days[p] for p in t[0]]
+                assert t[1] == [sum(low <= b - a <= high for a, b in zip(days, days[1:])) for low, high, _ in CYCLES]

@@ -96,6 +96,31 @@ def test_analysis_end_to_end(spark):
     assert '"alert_count": 2' in report.report_json(out)
 
 
+def test_names_beyond_ascii(spark):
+    df = spark.createDataFrame([("crédit",), ("Ｎｅｔｆｌｉｘ",), ("pg&é",)], "raw string")
+    assert [r.n for r in df.select(text.normalized(F.col("raw")).alias("n")).collect()] == ["Cre Dit", "Netflix", "PG&E"]
+    table = spark.createDataFrame([(4, "Crédit", "", "", "", "", "p", "")], guidance.SCHEMA)
+    again = registry.upserted(table, table.drop("#").withColumn("Provider", F.lit("CRÉDIT")))
+    assert [(r["#"], r.Provider) for r in again.collect()] == [(4, "CRÉDIT")]
+
+
+def test_confidence_stays_within_its_bounds(spark):
+    deltas = spark.createDataFrame([(1, 0.2), (2, -0.3), (3, 0.1)], "seq long, delta double")
+    seeds = registry.seeds(spark)
+    out = registry.adjusted(seeds, deltas.crossJoin(seeds.filter("canonical_name = 'Netflix'").select("service_id")))
+    got = {r.canonical_name: r.confidence for r in out.collect()}
+    assert got["Netflix"] == pytest.approx(0.8) and got["Hulu"] == 0.95
+
+
+def test_one_category_for_a_service(spark):
+    rows = [("s" + str(k), "SAME SHOP", 10.0 if k < 4 else 16.0, dt.date(2025, 1 + k, 15), ("4814", "7372")[k % 2], k) for k in range(5)]
+    df = spark.createDataFrame(rows, "transaction_id string, merchant_raw string, amount double, date date, category_mcc string, seq long")
+    df = df.selectExpr("*", "'same shop' AS cleaned", "CAST(NULL AS STRING) AS service_id", "CAST(NULL AS STRING) AS canonical_name", "CAST(NULL AS STRING) AS service_category")
+    assert report.detected(df).count() == 0  # telecom, by the first charge: 6.0 is under its 15.0
+    other = df.withColumn("category_mcc", F.when(F.col("seq") == 0, "7372").otherwise("4814"))
+    assert [(r.transaction_id, r.category) for r in report.detected(other).collect()] == [("s4", "software")]
+
+
 def test_registry_blocks_give_the_same_candidates(spark):
     names = spark.createDataFrame([(n,) for n in ("netflx", "e autopay", "att wireless", "brand new startup xyz", "spotify-usa", "zzz qqq")], "cleaned string")
     rows = lambda df: sorted((r.cleaned, r.kind, r["rank"], r.service_ord, round(r.score, 9)) for r in df.collect())
