@@ -32,10 +32,10 @@ def cleaned_any(name: Column) -> Column:
 
 
 def _stripped(name: Column) -> Column:
-    out = F.lower(name)
+    # the marks that decomposing leaves are no letters: they stand as punctuation until that goes
+    out = F.regexp_replace(F.lower(name), r"\p{M}", "!")
     for pattern in fixed.STRIP:
         out = F.regexp_replace(out, "(?iU)" + pattern, " ")
-    out = F.regexp_replace(out, r"\p{M}", " ")  # the marks that decomposing leaves are no letters
     out = F.trim(F.regexp_replace(out, r"\s+", " "))
     out = F.regexp_replace(out, fixed.DOMAIN_ENDINGS, " ")
     return F.trim(F.regexp_replace(out, r"\s+", " "))

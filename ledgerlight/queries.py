@@ -62,6 +62,28 @@ score AS (SELECT *, least(1.0::DOUBLE, pct) * 0.60::DOUBLE + least(1.0::DOUBLE,
 """
 
 
+RULES = "(VALUES " + ", ".join(f"('{r[0]}', {r[1]}::DOUBLE, {r[2]}::DOUBLE, {r[3]}, {r[4]})" for r in fixed.RULES) + ") r(category, least_diff, least_pct, lookback, seasonal)"
+#: Events spread over three years, with the categories in turn.
+YEARS = f"SELECT user_id::VARCHAR || '/' || event_type AS service, ({fixed.CATEGORIES})[(user_id % {len(fixed.CATEGORIES)})::INT + 1] AS category, event_id AS id, value AS amount, ts::DATE + ((event_id % 3) * 365)::INT AS date FROM events"
+
+
+def _by_rules(source: str) -> str:
+    """As :func:`_tiers`, with the thresholds, lookbacks and seasons of the categories."""
+    head = _tiers(source)
+    head = head[: head.index("latest AS (")]
+    return head + f"""
+ruled AS (SELECT c.service, c.pos AS i, c.id AS now_id, c.amount AS now_amount, c.date AS now_date, r.* FROM txn c JOIN {RULES} USING (category)),
+latest AS (SELECT recent.service, recent.i, recent.id, recent.amount, recent.date FROM recent JOIN ruled USING (service, i) WHERE back <= lookback),
+season AS (SELECT p.service, p.i, p.id, p.amount, p.date FROM pre p JOIN base USING (service, i) JOIN ruled r ON r.service = p.service AND r.i = p.i
+  WHERE r.seasonal AND abs(date_diff('day', p.date, (r.now_date - INTERVAL 1 YEAR)::DATE)) <= 30 AND (p.service, p.i, p.id) NOT IN (SELECT (service, i, id) FROM latest)),
+whole AS (SELECT *, date_diff('day', lag(date) OVER (PARTITION BY service, i ORDER BY date), date) AS gap FROM (SELECT * FROM latest UNION ALL SELECT * FROM season)),
+expect AS (SELECT service, i, round(median(amount)::DECIMAL(18, 4), 2)::DOUBLE AS expected, {CYCLE} AS cycle_days FROM whole GROUP BY ALL),
+rise AS (SELECT service, category, now_id AS transaction_id, now_amount AS amount, expected, cycle_days, now_amount - expected AS diff, (now_amount - expected) / expected AS pct, least_diff, least_pct
+  FROM expect JOIN ruled USING (service, i) WHERE now_amount > expected AND expected <> 0),
+score AS (SELECT *, least(1.0::DOUBLE, pct) * 0.60::DOUBLE + least(1.0::DOUBLE, diff / greatest(expected, 1.0::DOUBLE)) * 0.40::DOUBLE AS score FROM rise WHERE diff >= least_diff AND pct >= least_pct)
+"""
+
+
 _ALERTS = """SELECT service, transaction_id::VARCHAR AS transaction_id, expected, round(amount, 2) AS actual, round(diff, 2) AS difference, round(pct * 100, 1) AS percentage_change,
   round(score, 3) AS outlier_score, CASE WHEN score >= 0.85 THEN 'high' WHEN score >= 0.65 THEN 'warning' ELSE 'low' END AS severity, cycle_days::INTEGER AS cycle_days
 FROM score WHERE score >= 0.4"""
@@ -73,6 +95,17 @@ def recurring_alerts_events(spark, sf_dir: str) -> DataFrame:
     return detection.alerts(event_charges(spark, sf_dir), KEYS).select(*ALERT_COLUMNS)
 
 
+@query(_by_rules(YEARS) + _ALERTS.replace("SELECT service,", "SELECT service, category,"))
+def alerts_by_category(spark, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    names = F.array(*map(F.lit, fixed.CATEGORIES))
+    txns = events.select(
+        F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("service"), F.get(names, (F.col("user_id") % len(fixed.CATEGORIES)).cast("int")).alias("category"),
+        F.col("event_id").alias("transaction_id"), F.col("event_id").alias("seq"), F.col("value").alias("amount"), F.date_add(F.to_date("ts"), ((F.col("event_id") % 3) * 365).cast("int")).alias("date"),
+    )
+    return detection.alerts(txns, KEYS).select("category", *ALERT_COLUMNS)
+
+
 @query(_tiers(ORDERS) + _ALERTS)
 def recurring_alerts_orders(spark, sf_dir: str) -> DataFrame:
     return detection.alerts(order_charges(spark, sf_dir), KEYS).select(*ALERT_COLUMNS)
@@ -202,6 +235,23 @@ def title_names(spark, sf_dir: str) -> DataFrame:
     return _names(spark, sf_dir).select("id", text.normalized(F.col("raw")).alias("name"))
 
 
+#: Characters and what decomposing and cleaning leave of them.
+_DECOMPOSED = {"é": "e ", "Ü": "u ", "ﬁ": "fi", "Ａ": "a", "ñ": "n "}
+_FOREIGN = "Crédit ﬁn Ａ&Ü Señor "
+
+
+def _decomposed_sql(x: str) -> str:
+    for k, v in _DECOMPOSED.items():
+        x = f"replace({x}, '{k}', '{v}')"
+    return x
+
+
+@query(f"SELECT id, cleaned, CASE WHEN contains(cleaned, '&') THEN upper(cleaned) END AS name FROM (SELECT id, {_clean_sql(_decomposed_sql(f"'{_FOREIGN}' || raw"))} AS cleaned FROM {_NAMES})")
+def clean_names_any(spark, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(_FOREIGN), F.col("raw"))
+    return _names(spark, sf_dir).select("id", text.cleaned_any(raw).alias("cleaned"), text.normalized(raw).alias("name"))
+
+
 _KEYWORD_SQL = "CASE " + " ".join(f"WHEN regexp_matches(%s, '(?i){p}') THEN '{c}'" for p, c in fixed.KEYWORDS) + " ELSE 'general' END"
 
 
@@ -354,7 +404,16 @@ def guide_upsert(spark, sf_dir: str) -> DataFrame:
     return done.select(F.col("#").alias("num"), F.col("s_name").alias("provider"))
 
 
-@query()
+_GRAMS = r"""
+words AS (SELECT name, ' ' || unnest(list_filter(regexp_split_to_array(lower(trim(name)), '\s+'), lambda x: x <> '')) || ' ' AS w FROM n),
+grams AS (SELECT name, unnest(flatten(list_transform([2, 3, 4], lambda k: CASE WHEN k = 2 OR length(w) >= k THEN list_transform(range(1, greatest(length(w) - k + 1, 1) + 1), lambda j: substr(w, j::INT, k)) ELSE []::VARCHAR[] END))) AS gram FROM words),
+tf AS (SELECT name, gram, count(*) AS tf FROM grams GROUP BY ALL),
+weighted AS (SELECT name, gram, tf * (ln((1 + (SELECT count(*) FROM n)) / (1 + count(*) OVER (PARTITION BY gram))) + 1) AS w FROM tf),
+vectors AS (SELECT name, gram, w / sqrt(sum(w * w) OVER (PARTITION BY name)) AS weight FROM weighted)
+"""
+
+
+@query("WITH n AS (SELECT DISTINCT p_name AS name FROM part)," + _GRAMS + "SELECT name AS p_name, gram, round(weight, 6) AS weight FROM vectors")
 def tfidf_char_wb(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.functions.similarity import tfidf
 
@@ -362,7 +421,13 @@ def tfidf_char_wb(spark, sf_dir: str) -> DataFrame:
     return tfidf(names, "p_name", "p_name").select("p_name", "gram", F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE n AS (SELECT p_name AS name, count(*) AS n FROM part GROUP BY 1)," + _GRAMS
+    + r""", edges AS (SELECT a.name AS a, b.name AS b FROM vectors a JOIN vectors b USING (gram) WHERE a.name <> b.name GROUP BY ALL HAVING sum(a.weight * b.weight) >= 0.6 - 1e-9),
+reach AS (SELECT name, name AS other FROM n UNION SELECT r.name, e.b FROM reach r JOIN edges e ON e.a = r.other),
+c AS (SELECT name, min(other) AS cluster FROM reach GROUP BY 1), s AS (SELECT *, sum(n) OVER (PARTITION BY cluster) AS size, first_value(name) OVER (PARTITION BY cluster ORDER BY n DESC, length(name), name) AS chosen FROM c JOIN n USING (name))
+SELECT name, cluster, CASE WHEN contains(chosen, '&') THEN upper(chosen) ELSE array_to_string(list_transform(regexp_extract_all(lower(chosen), '([a-z]+|[^a-z]+)'), lambda x: upper(x[1]) || x[2:]), '') END AS canonical, size::BIGINT AS size FROM s"""
+)
 def connected_clusters(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.operators.resolution import clustered
 
@@ -407,31 +472,64 @@ def guide_links(spark, sf_dir: str) -> DataFrame:
     return pages.select("page_id", text.search_url(F.col("url")).alias("search_url"), text.first_url(F.col("html")).alias("first_url"), text.site_url(F.col("url")).alias("site_url"))
 
 
-@query()
+def _html_sql() -> str:
+    from ledgerlight.sources.receipts import BLOCKS
+
+    out = r"regexp_replace(coalesce(html, ''), '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>', ' ', 'g')"
+    out = rf"regexp_replace({out}, '(?is)</?({'|'.join(sorted(BLOCKS))})\b[^>]*>', chr(10), 'g')"
+    out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{plain}')"
+    out = rf"regexp_replace({out}, '[ \t\r\f]+', ' ', 'g')"
+    return rf"SELECT page_id, trim(regexp_replace(regexp_replace({out}, ' ?\n[ \n]*', chr(10), 'g'), '^\n|\n$', '', 'g')) AS text FROM pages"
+
+
+@query(_html_sql())
 def html_text(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.sources.receipts import html_text as visible
 
     return table(spark, sf_dir, "pages").select("page_id", visible(F.col("html")).alias("text"))
 
 
-@query()
+def _links_sql() -> str:
+    from ledgerlight.sources.receipts import LINK, LINK_WORDS
+
+    found = lambda k: f"regexp_extract_all(html, '{LINK.replace(chr(39), chr(39) * 2)}', {k})"
+    return rf"""WITH a AS (SELECT page_id, unnest({found(1)}) AS url, unnest({found(2)}) AS raw, generate_subscripts({found(1)}, 1) AS k FROM pages),
+l AS (SELECT page_id, k, trim(url) AS url, coalesce(nullif(trim(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), ''), url) AS label FROM a),
+w AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY k) AS nth FROM l WHERE url <> '' AND regexp_matches(lower(label || ' ' || url), '{'|'.join(LINK_WORDS)}')),
+f AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS place FROM w WHERE nth = 1)
+SELECT page_id, coalesce(string_agg(label || ' <' || url || '>', chr(10) ORDER BY place) FILTER (place <= 8), '') AS links FROM (SELECT page_id FROM pages) LEFT JOIN f USING (page_id) GROUP BY 1"""
+
+
+@query(_links_sql())
 def action_links(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.sources.receipts import action_links as links
 
-    return table(spark, sf_dir, "pages").select("page_id", links(F.col("html")).alias("links"))
+    written = F.transform(links(F.col("html")), lambda x: F.concat(x["label"], F.lit(" <"), x["url"], F.lit(">")))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(written, "\n").alias("links"))
 
 
-@query(
-    "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most, min(o_totalprice) AS least, round(median(o_totalprice), 6) AS median, round(avg(o_totalprice), 7) AS mean, round(stddev_pop(o_totalprice), 5) AS std, "
-    "round(any_value(last), 2) AS last, round(CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(o_totalprice, -k) FILTER (k <= 6) END / median(o_totalprice), 6) AS slope "
-    "FROM (SELECT *, first_value(o_totalprice) OVER w AS last, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC)) GROUP BY 1"
-)
+_FEATURES = f"""WITH h AS (SELECT *, o_totalprice AS x, row_number() OVER w AS k, o_custkey % 14 AS category_index, 5 + 40 * (o_custkey % 11) AS cycle_days FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC)),
+f AS (SELECT o_custkey, count(*) AS n, max(x) AS most, min(x) AS least, median(x) AS median, avg(x) AS mean, coalesce(stddev_pop(x), 0) AS std, max(x) FILTER (k = 1) AS last, coalesce(max(x) FILTER (k = 2), max(x) FILTER (k = 1)) AS second_last,
+  CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(x, -k) FILTER (k <= 6) END AS raw, any_value(category_index) AS category_index, any_value(cycle_days) AS cycle_days, date_diff('day', max(o_orderdate)::DATE, DATE '1999-01-01') AS gap FROM h GROUP BY 1)
+SELECT o_custkey, n, most, least, round(median, 6) AS median, round(mean, 7) AS mean, round(std, 5) AS std, round(last, 2) AS last, round(second_last, 2) AS second_last, round(least(std / median, 5), 6) AS cv, round((last - second_last) / second_last, 6) AS last_delta,
+  round(raw / median, 6) AS slope, least(n, 12)::DOUBLE AS n_obs, list_position(list_transform({[c[-1] for c in fixed.CYCLES]}, lambda d: abs(cycle_days - d)), list_min(list_transform({[c[-1] for c in fixed.CYCLES]}, lambda d: abs(cycle_days - d))))::DOUBLE - 1 AS cycle,
+  category_index::DOUBLE AS category_index, least(gap, 400)::DOUBLE AS days FROM f"""
+
+
+@query(_FEATURES)
 def features_14(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.operators.prediction import features
 
-    df = features(order_charges(spark, sf_dir), ["service"])
+    names = F.array(*map(F.lit, fixed.CATEGORIES))
+    key = F.col("service").cast("bigint")
+    txns = order_charges(spark, sf_dir).drop("category")
+    last = txns.groupBy("service").agg(F.datediff(F.lit("1999-01-01").cast("date"), F.max("date")).alias("gap"))
+    txns = txns.join(last, "service").withColumn("category", F.get(names, (key % 14).cast("int"))).withColumn("cycle_days", 5 + 40 * (key % 11))
+    df = features(txns, ["service", "category", "gap", "cycle_days"], F.col("cycle_days"), F.col("gap"))
     r = lambda c, n: F.round(c, n).alias(c)
-    return df.select(F.col("service").cast("bigint").alias("o_custkey"), "n", "most", "least", r("median", 6), r("mean", 7), r("std", 5), r("last", 2), r("slope", 6))
+    return df.select(key.alias("o_custkey"), "n", "most", "least", r("median", 6), r("mean", 7), r("std", 5), r("last", 2), r("second_last", 2), r("cv", 6), r("last_delta", 6), r("slope", 6), "n_obs", "cycle", "category_index", "days")
 
 
 @query()
@@ -442,33 +540,36 @@ def ml_predict(spark, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH t AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'expected' WHEN event_id % 3 = 1 THEN 'unexpected' ELSE NULL END AS b, CASE WHEN event_id % 5 = 0 THEN 'x' END AS a FROM events) "
-    "SELECT event_id, coalesce(b, '—') AS before, coalesce(a, 'suppressed') AS after FROM t WHERE a IS NOT NULL OR b IS NOT NULL"
+    _tiers(EVENTS) + f", a AS ({_ALERTS}), m AS ({_TOLERANCE}), d AS (SELECT a.*, e.ts::DATE AS date, e.event_id, multiplier FROM a JOIN events e ON e.event_id = a.transaction_id::BIGINT JOIN m ON m.user_id = e.user_id), "
+    "j AS (SELECT *, CASE WHEN multiplier <= 1 THEN severity WHEN outlier_score / multiplier >= 0.85 THEN 'high' WHEN outlier_score / multiplier >= 0.65 THEN 'warning' WHEN outlier_score / multiplier >= 0.4 THEN 'low' END AS later FROM d), "
+    "b AS (SELECT service, arg_max(severity, (date, event_id)) AS before FROM j GROUP BY 1), c AS (SELECT service, arg_max(later, (date, event_id)) AS after FROM j WHERE later IS NOT NULL GROUP BY 1) "
+    "SELECT service, before, coalesce(after, 'suppressed') AS after FROM b LEFT JOIN c USING (service)"
 )
 def before_after(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.operators.feedback import adjusted
     from ledgerlight.plans.report import compared
 
-    events = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("date"), F.col("event_id").alias("seq"))
-    before = events.filter("event_id % 3 <> 2").withColumn("severity", F.when(F.col("event_id") % 3 == 0, "expected").otherwise("unexpected"))
-    return compared(before, events.filter("event_id % 5 = 0").withColumn("severity", F.lit("x")), "event_id")
+    before = detection.alerts(event_charges(spark, sf_dir), KEYS).withColumn("user_id", F.substring_index("service", "/", 1).cast("bigint"))
+    after = adjusted(before, _feedback(spark, sf_dir), "user_id").filter("severity <> 'none'")
+    return compared(before, after, "service")
 
 
-@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, event_type, (props->>'k')::BIGINT AS k FROM events")
 def json_roundtrip(spark, sf_dir: str) -> DataFrame:
-    read = F.from_json(F.to_json(F.from_json("props", "k bigint")), "k bigint")
-    return table(spark, sf_dir, "events").select("event_id", read["k"].alias("k"))
-
+    from ledgerlight.sources import sinks
 
+    events = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("date"), "event_type", F.from_json("props", "k bigint").alias("props"))
+    read = F.from_json("json", "event_id bigint, date string, event_type string, props struct<k:bigint>")
+    return sinks.json_rows(sinks.records(events)).select(read.alias("r")).select("r.event_id", "r.date", "r.event_type", "r.props.k")
 
 
-@query()
+@query("SELECT o_orderkey, [round((o_totalprice / 2)::DECIMAL(18, 4), 2)::DOUBLE, 1.05::DOUBLE, 3.45::DOUBLE, round(o_totalprice::DECIMAL(18, 4), 2)::DOUBLE] AS amounts FROM orders")
 def money_extract(spark, sf_dir: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    written = F.format_string("Subtotal $%.2f\nTax $1.05\nTotal charged $%.2f", price / 2, price)
-    found = F.regexp_extract_all(written, F.lit(r"(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}"), F.lit(0))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.transform(found, lambda x: x.cast("double")).alias("amounts"))
-
+    from ledgerlight.sources.receipts import money
 
+    price = F.col("o_totalprice")
+    written = F.format_string("Order 17 of 2024-01-31\nSubtotal $%,.2f\nTax 1.05 USD and 3.456 or .5\nTotal charged US$ %.2f", F.round(F.round(price / 2, 4), 2), price)
+    return table(spark, sf_dir, "orders").select("o_orderkey", money(written).alias("amounts"))
 
 
 _REASON_LIST = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.CATEGORY_REASONS.items()) + f" ELSE {fixed.OTHER_REASONS} END"
@@ -488,6 +589,14 @@ def reasons(spark, sf_dir: str) -> DataFrame:
 _RAW = "SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE 'payee ' || o_custkey END AS payee, CASE WHEN o_orderkey % 5 = 0 THEN 'free' WHEN o_orderkey % 5 = 1 THEN '' ELSE '7.25' END AS charge, CASE WHEN o_orderkey % 3 = 0 THEN 'soon' ELSE '2024-01-31' END AS posted_date FROM orders"
 
 
+def _raw(spark, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("seq"), F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("payee "), F.col("o_custkey").cast("string"))).alias("Payee"),
+        F.when(k % 5 == 0, "free").when(k % 5 == 1, "").otherwise("7.25").alias("Charge"), F.when(k % 3 == 0, "soon").otherwise("2024-01-31").alias("Posted-Date"),
+    )
+
+
 @query(
     f"""SELECT seq AS row_no, 'Row ' || seq || ': ' || CASE WHEN trim(payee) = '' THEN 'missing merchant (merchant_raw / merchant / description)' WHEN charge = '' THEN 'empty amount'
 WHEN charge = 'free' THEN 'could not convert string to float: free' ELSE 'unrecognized date format: soon' END AS error FROM ({_RAW}) WHERE trim(payee) = '' OR charge <> '7.25' OR posted_date = 'soon'"""
@@ -495,12 +604,17 @@ WHEN charge = 'free' THEN 'could not convert string to float: free' ELSE 'unreco
 def parse_rejects(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.sources import ingest
 
-    k = F.col("o_orderkey")
-    raw = table(spark, sf_dir, "orders").select(
-        k.alias("seq"), F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("payee "), F.col("o_custkey").cast("string"))).alias("Payee"),
-        F.when(k % 5 == 0, "free").when(k % 5 == 1, "").otherwise("7.25").alias("Charge"), F.when(k % 3 == 0, "soon").otherwise("2024-01-31").alias("Posted-Date"),
-    )
-    return ingest.typed(raw)[1]
+    return ingest.typed(_raw(spark, sf_dir))[1]
+
+
+@query(
+    f"""SELECT 'ingest-' || substr(sha256(seq || '|' || payee || '|' || charge || '|' || posted_date), 1, 8) AS transaction_id, payee AS merchant_raw, 7.25::DOUBLE AS amount, DATE '2024-01-31' AS date,
+'USD' AS currency, seq FROM ({_RAW}) WHERE trim(payee) <> '' AND charge = '7.25' AND posted_date <> 'soon'"""
+)
+def parse_valid(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.sources import ingest
+
+    return ingest.typed(_raw(spark, sf_dir))[0].select("transaction_id", "merchant_raw", "amount", "date", "currency", "seq")
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2) AS amount, 'Canva' AS merchant FROM orders")

@@ -97,8 +97,9 @@ def test_analysis_end_to_end(spark):
 
 
 def test_names_beyond_ascii(spark):
-    df = spark.createDataFrame([("crédit",), ("Ｎｅｔｆｌｉｘ",), ("pg&é",)], "raw string")
-    assert [r.n for r in df.select(text.normalized(F.col("raw")).alias("n")).collect()] == ["Cre Dit", "Netflix", "PG&E"]
+    raw = ["crédit", "Ｎｅｔｆｌｉｘ", "pg&é", "Señor X", "Björk & co 12345 ½"]
+    got = spark.createDataFrame([(x,) for x in raw], "raw string").select(text.normalized(F.col("raw")).alias("n"), text.cleaned_any(F.col("raw")).alias("c")).collect()
+    assert [r.n for r in got][:4] == ["Cre Dit", "Netflix", "PG&E", "Sen X"] and [r.c for r in got] == [receipts.cleaned(x) for x in raw]
     table = spark.createDataFrame([(4, "Crédit", "", "", "", "", "p", "")], guidance.SCHEMA)
     again = registry.upserted(table, table.drop("#").withColumn("Provider", F.lit("CRÉDIT")))
     assert [(r["#"], r.Provider) for r in again.collect()] == [(4, "CRÉDIT")]
