@@ -473,15 +473,17 @@ def guide_links(spark, sf_dir: str) -> DataFrame:
 
 
 def _html_sql() -> str:
-    from ledgerlight.sources.receipts import BLOCKS
-
-    out = r"regexp_replace(coalesce(html, ''), '(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>', ' ', 'g')"
-    out = rf"regexp_replace({out}, '(?is)</?({'|'.join(sorted(BLOCKS))})\b[^>]*>', chr(10), 'g')"
-    out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', '{plain}')"
-    out = rf"regexp_replace({out}, '[ \t\r\f]+', ' ', 'g')"
-    return rf"SELECT page_id, trim(regexp_replace(regexp_replace({out}, ' ?\n[ \n]*', chr(10), 'g'), '^\n|\n$', '', 'g')) AS text FROM pages"
+    from ledgerlight.sources.receipts import ENTITIES, LINE_STEPS, PAGE_STEPS
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = "coalesce(html, '')"
+    for pattern, new in PAGE_STEPS:
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(new)}, 'g')"
+    for entity, plain in ENTITIES:
+        out = f"replace({out}, {quoted(entity)}, {quoted(plain)})"
+    for pattern, new in LINE_STEPS:
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(new)}, 'g')"
+    return f"SELECT page_id, trim({out}) AS text FROM pages"
 
 
 @query(_html_sql())
