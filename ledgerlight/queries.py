@@ -455,12 +455,50 @@ def guide_match_score(spark, sf_dir: str) -> DataFrame:
     return guidance.matches(names, guides).select(F.col("name").alias("p_name"), "alias", "score")
 
 
-@query()
+def _guides_sql() -> str:
+    from ledgerlight.operators import guidance as g
+
+    text_of = lambda x: "'" + x.replace("'", "''") + "'"
+    lines = lambda xs: "\n".join(xs)
+    numbers = lambda xs: lines(f"{k}. {x}" for k, x in enumerate(xs, 1))
+    rows = ", ".join(
+        "(" + ", ".join([str(k), str(j), *map(text_of, (name, alias, manage, source, f"Type: {name}\nDirect link: {manage}\n\nWorkflow:\n{numbers(steps)}\n\nWatch-out:\n" + lines(f"- {x}" for x in notes), lines(steps), lines(notes)))]) + ")"
+        for k, (name, aliases, manage, source, steps, notes) in enumerate(g.BUILT_IN)
+        for j, alias in enumerate(aliases)
+    )
+    search = "'https://www.google.com/search?q=' || replace(replace(replace(url_encode(trim(n.name) || ' official cancel subscription'), '%20', '+'), '*', '%2A'), '%7E', '~')"
+    title = "array_to_string(list_transform(regexp_extract_all(lower(trim(n.name)), '([a-z]+|[^a-z]+)'), lambda x: upper(x[1]) || x[2:]), '')"
+    tail = f"\n\nWorkflow:\n{numbers(g.FALLBACK_STEPS)}\n\nWatch-out:\n{g.FALLBACK_WATCH}"
+    return f"""WITH n AS (SELECT name, {_clean_sql('name')} AS c FROM (SELECT DISTINCT p_name AS name FROM part UNION SELECT s_name || ' ' || (ARRAY['canva', 'google youtube', 'spot', '365 office'])[s_suppkey % 4 + 1] FROM supplier)),
+g AS (SELECT *, {_clean_sql('alias')} AS a FROM (VALUES {rows}) v(ord, place, service, alias, manage, source, process, steps, notes)),
+m AS (SELECT n.name, g.*, CASE WHEN c = a THEN 1.0 WHEN contains(c, a) THEN 0.92 WHEN contains(a, c) THEN 0.86 WHEN len(list_filter(string_split(a, ' '), lambda w: NOT list_contains(string_split(c, ' '), w))) = 0 THEN 0.82 ELSE 0 END AS score FROM n, g WHERE c <> ''),
+b AS (SELECT * FROM m WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, ord, place) = 1)
+SELECT n.name, coalesce(service, {title}) AS service_name, coalesce(alias, trim(n.name)) AS matched_name, coalesce(score, 0)::DOUBLE AS confidence, CASE WHEN score IS NULL THEN 'web_search' ELSE 'built_in_database' END AS source,
+coalesce(manage, '') AS manage_url, coalesce(b.source, '') AS source_url, {search} AS search_url, CASE WHEN score IS NULL THEN 'general' ELSE '' END AS category, coalesce(manage, '') AS website,
+coalesce(process, {text_of(g.FALLBACK_HEAD + chr(10) + 'Web search: ')} || {search} || {text_of(tail)}) AS cancellation_process, coalesce(b.source, {search}) AS additional_resources,
+coalesce(steps, {text_of(lines(g.FALLBACK_STEPS))}) AS steps, coalesce(notes, {text_of('Detected category: general.' + chr(10) + g.FALLBACK_NOTE)}) AS notes FROM n LEFT JOIN b USING (name)"""
+
+
+@query(_guides_sql())
 def guide_best(spark, sf_dir: str) -> DataFrame:
     from ledgerlight.operators import guidance
 
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.lit("general").alias("category")).distinct()
-    return guidance.guide(names, guidance.built_in(spark))
+    ends = F.array(*map(F.lit, ("canva", "google youtube", "spot", "365 office")))
+    more = table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(" "), F.get(ends, (F.col("s_suppkey") % 4).cast("int"))).alias("name"))
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).union(more).distinct().withColumn("category", F.lit("general"))
+    found = guidance.guide(names, guidance.built_in(spark)).drop("market_position", "price_range", "billing_cycle")
+    return found.withColumns({c: F.array_join(c, "\n") for c in ("steps", "notes")})
+
+
+_DEMO = [("t013", "Adobe", 19.99, 1.0, "high"), ("t023", "Canva", 12.99, 1.0, "high"), ("t037", "Apple", 9.99, 0.501, "low"), ("t053", "Verizon", 86.0, 0.686, "warning"), ("t063", "PG&E", 92.0, 1.0, "high"), ("t073", "GitHub", 4.0, 1.0, "high")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{n}', {e}::DOUBLE, {s}::DOUBLE, '{v}')" for i, n, e, s, v in _DEMO) + ") v(transaction_id, canonical_name, expected, outlier_score, severity)")
+def demo_alerts(spark, sf_dir: str) -> DataFrame:
+    from ledgerlight.plans import report
+    from ledgerlight.sources import demo
+
+    return report.analyze(demo.charges(spark))["alerts"].select("transaction_id", "canonical_name", "expected", "outlier_score", "severity")
 
 
 @query(
