@@ -101,20 +101,71 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_query_trains_the_whole_model(spark, monkeypatch, tmp_path):
-    from pyspark.ml.regression import GBTRegressor
-
+    from ledgerlight.operators import prediction
     from ledgerlight.queries import ml_predict
 
+    seen = []
+
     class Seen(Exception):
         pass
 
-    def fit(self, rows):
-        raise Seen(rows.count(), self.getMaxIter(), self.getMaxDepth(), self.getStepSize())
+    def fit(self, x, y, trees, depth, step, quantile):
+        seen.append((len(x), x.shape[1], trees, depth, step, quantile))
+        if len(seen) == 3:
+            raise Seen
 
-    monkeypatch.setattr(GBTRegressor, "fit", fit)
-    with pytest.raises(Seen) as seen:
+    monkeypatch.setattr(prediction.Boosted, "__init__", fit)
+    prediction.trained.cache_clear()
+    with pytest.raises(Seen):
         ml_predict(spark, str(tmp_path))
-    assert seen.value.args == (2000, 200, 4, 0.05)
+    assert seen == [(2000, 14, 200, 4, 0.05, q) for q in (None, 0.10, 0.90)]
+    prediction.trained.cache_clear()
+
+
+def test_splits_against_all_splits():
+    import numpy as np
+
+    from ledgerlight.operators import prediction
+
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 9, (60, 3)).astype(float), rng.normal(size=60)
+    for quantile in (None, 0.3):
+        model = prediction.Boosted(x, y, 1, 1, 1.0, quantile)
+        start = y.mean() if quantile is None else np.quantile(y, quantile)
+        pull = y - start if quantile is None else np.where(y > start, quantile, quantile - 1)
+        worth = lambda m: pull[m].sum() ** 2 / m.sum() + pull[~m].sum() ** 2 / (~m).sum()  # noqa: E731, B023
+        best = max(worth(x[:, f] <= c) for f in range(3) for c in range(8) if 0 < (x[:, f] <= c).sum() < 60)
+        left = x[:, model.feature[0, 0]] <= model.cut[0, 0]
+        assert worth(left) == pytest.approx(best)
+        at = np.mean if quantile is None else lambda v: np.quantile(v, quantile)  # noqa: B023
+        assert model.predict(x) == pytest.approx(np.where(left, start + at((y - start)[left]), start + at((y - start)[~left])))
+
+
+def test_model_on_histories_that_it_has_not_seen(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from ledgerlight.operators import prediction
+
+    x, y = prediction.synthetic(seed=7)
+    middle, low, high = (m.predict(x) for m in prediction.trained(2000, 200))
+    assert np.mean(np.abs(middle - y)) < 0.75 * np.mean(np.abs(x[:, 2] - y))
+    assert 0.05 < np.mean(y < low) < 0.2 and 0.05 < np.mean(y > high) < 0.2
+    rng = np.random.default_rng(3)
+    drawn = [prediction.history(rng, kind) for kind in prediction.KINDS for _ in range(8)]
+    rows = [(k, n, float(a), dt.date(2024, 1, 1) + dt.timedelta(days=n), category, cycle, days) for k, (amounts, cycle, category, days) in enumerate(drawn) for n, a in enumerate(amounts[:-1])]
+    df = spark.createDataFrame(rows, "k long, seq long, amount double, date date, category string, every int, since int")
+    found = prediction.features(df, ["k", "category", "every", "since"], F.col("every"), F.col("since"))
+    model = prediction.AmountModel(spark)
+    model.save(spark, str(tmp_path / "model"))
+    again = {r.k: r for r in prediction.AmountModel.load(spark, str(tmp_path / "model")).predict(found).collect()}
+    for r in model.predict(found).collect():
+        amounts, *rest = drawn[r.k]
+        want = np.array([prediction.feature_row(amounts[:-1], *rest)])
+        p, a, b = (float(m.predict(want)[0]) for m in model.models)
+        sure = 1 - (max(b, p) - min(a, p)) / p
+        assert r.method == ("ml" if sure >= 0.5 and len(amounts) > 3 else "median") and again[r.k] == r
+        assert r.expected == pytest.approx(p if r.method == "ml" else float(np.median(amounts[:-1])), abs=0.011)
 
 
 def test_long_service_in_one_pass(spark):

@@ -101,3 +101,73 @@ def test_best_amount_reads_all_orders(spark, tmp_path):
     rows = [(k, 1234.5 + k) for k in (1, 2000, 2001, 150_000, 9_000_000_000)]
     spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     assert sorted(map(tuple, best_amount(spark, str(tmp_path)).collect())) == [(k, x, "Canva") for k, x in rows]
+
+
+def test_demo_and_template(spark):
+    from ledgerlight.sources import demo
+
+    assert len(demo.rows(False)) == 44 and len(demo.rows()) == 52 and len({r[0] for r in demo.rows()}) == 52
+    apple = [r[2:4] for r in demo.rows(False) if r[1] == "APPLE.COM/BILL"]
+    assert [a for a, _ in apple] == [2.99, 9.99, 2.99, 9.99, 2.99, 9.99, 2.99, 14.99] and apple[0][1] == apple[1][1] == dt.date(2025, 11, 5) and apple[-1][1] == dt.date(2026, 2, 5)
+    good, bad = ingest.csv_text(spark, demo.template())
+    rows = good.orderBy("transaction_id").collect()
+    assert len(rows) == 12 and bad.count() == 0 and (rows[4].merchant_raw, rows[4].amount, rows[4].date) == ("NETFLIX.COM", 59.99, dt.date(2026, 3, 1)) and rows[0].category_mcc is None
+
+
+def xlsx(path, sheets):
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    head = '<?xml version="1.0"?>'
+    words = [c for _, rows in sheets for r in rows for c in r if isinstance(c, str)]
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/sharedStrings.xml", head + "<sst>" + "".join(f"<si><t>{escape(w)}</t></si>" for w in words) + "</sst>")
+        z.writestr("xl/workbook.xml", head + '<workbook xmlns:r="r"><sheets>' + "".join(f'<sheet name="{n}" r:id="i{k}"/>' for k, (n, _) in enumerate(sheets)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", head + "<Relationships>" + "".join(f'<Relationship Id="i{k}" Target="worksheets/s{k}.xml"/>' for k in range(len(sheets))) + "</Relationships>")
+        for k, (_, rows) in enumerate(sheets):
+            cell = lambda n, i, c: f'<c r="{"ABCDEFGHIJ"[i]}{n}" t="s"><v>{words.index(c)}</v></c>' if isinstance(c, str) else f'<c r="{"ABCDEFGHIJ"[i]}{n}"><v>{c}</v></c>'
+            body = "".join(f"<row>{''.join(cell(n, i, c) for i, c in enumerate(r) if c is not None)}</row>" for n, r in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/s{k}.xml", f"{head}<worksheet><sheetData>{body}</sheetData></worksheet>")
+
+
+def test_workbooks(spark, tmp_path):
+    from ledgerlight.operators import guidance
+    from ledgerlight.sources import workbook
+
+    header = ["#", "Provider", "2026 Market  Share", "Price Range", "Website", "How / Cancellation"]
+    xlsx(tmp_path / "a.xlsx", [
+        ("Index", [header, [1, "Not read", None, None, None, "x"]]),
+        ("Music", [["A title"], [None, "and a note"], header, [3, "Tune Box / TB", "5 %", "$5", "tunebox.example", "Go to https://tunebox.example/end."], [4, "Provider", "", "", "", "again"], [5, "# note", "", "", "", "x"], [6, "No process"], [None, "Late Radio", None, None, None, "Write <to> us"]]),
+        ("Empty", []),
+    ])
+    found = {r.service_name: r for r in workbook.guides(spark, str(tmp_path / "a.xlsx")).collect()}
+    assert set(found) == {"Tune Box / TB", "Late Radio"}
+    box = found["Tune Box / TB"]
+    assert (box.ord, box.category, box.market_position, box.manage_url, box.aliases, box.website) == (3, "Music", "5 %", "https://tunebox.example/end", ["Tune Box / TB", "Tune Box", "TB"], "tunebox.example")
+    assert found["Late Radio"].cancellation_process == "Write <to> us" and found["Late Radio"].notes
+    names = spark.createDataFrame([("TUNE BOX 99999", None), ("NETFLIX.COM", None), ("Tune Box", None), ("Nobody", "news")], "name string, category string")
+    out = guidance.listed(guidance.guide(names, workbook.guides(spark, str(tmp_path)).unionByName(guidance.built_in(spark)))).collect()
+    assert [(r.service_name, r.source) for r in out] == [("Tune Box / TB", "xlsx_database"), ("Netflix", "built_in_database"), ("Nobody", "web_search")]
+    assert out[1].steps[1] == "Select Cancel." and "1. Sign in" in out[1].cancellation_process and out[2].notes[0] == "Detected category: news." and "Web search: https" in out[2].cancellation_process
+    assert workbook.database_path(spark) is None or workbook.database_path(spark).endswith(".xlsx")
+    spark.conf.set(workbook.SETTING, str(tmp_path / "a.xlsx"))
+    assert workbook.database_path(spark) == str(tmp_path / "a.xlsx")
+    spark.conf.unset(workbook.SETTING)
+
+
+def test_numbered_rows_of_files(spark, tmp_path):
+    (tmp_path / "csv").mkdir()
+    for k in range(3):
+        (tmp_path / "csv" / f"{k}.csv").write_text("payee;amount;date\n" + "".join(f"P{k}-{n};{n}.5;2025-01-0{n + 1}\n" for n in range(4)) + ";1;2025-01-01\n")
+    good, bad = ingest.csv_files(spark, str(tmp_path / "csv"))
+    seqs = sorted([r.seq for r in good.collect()] + [r.row_no for r in bad.collect()])
+    assert seqs == list(range(1, 16)) and bad.count() == 3
+    (tmp_path / "lines.json").write_text('{"payee": "X", "charge": 5, "date": "20260131"}\n{"payee": "Y", "charge": "6", "date": "20260131"}\n')
+    (tmp_path / "array.json").write_text('[\n{"payee": "X", "charge": 5, "date": "20260131"},\n{"payee": "Y", "charge": 6, "date": "20260131"}]')
+    (tmp_path / "wrapped.json").write_text('{"transactions": [\n{"payee": "X", "charge": 5, "date": "20260131"}, {"payee": "Y", "charge": 6, "date": "soon"}], "more": 1}')
+    for name, n in (("lines", 2), ("array", 2), ("wrapped", 1)):
+        good, bad = ingest.json_files(spark, str(tmp_path / f"{name}.json"))
+        assert (good.count(), bad.count()) == (n, 2 - n) and good.orderBy("seq").first().seq == 1, name
+    with pytest.raises(ValueError, match="empty"):
+        (tmp_path / "none.csv").write_text(" ")
+        ingest.csv_files(spark, str(tmp_path / "none.csv"))
