@@ -5,10 +5,12 @@ import datetime as dt
 import hashlib
 import math
 import re
+from fractions import Fraction
 
+import regex
 import xxhash
 
-from ledgerlight.llm import pii
+from ledgerlight.llm import pii, quality
 
 
 def draw(key, kind, n, r, value, below):
@@ -307,3 +309,113 @@ class Languages:
             return "und", 0.0
         p = self.chances([v / self.heat for v in self.logits(x)])
         return self.names[p.index(max(p))], max(p)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def hashed(*values, seed=42):
+    """Spark's hash of a row of long integers: each seeds the next; nulls are skipped."""
+    for v in values:
+        seed = seed if v is None else xxhash.xxh64_intdigest((v & FULL).to_bytes(8, "little"), seed)
+    return signed(seed)
+
+
+def words_of(text):
+    return [w for w in re.split("[ \t\n\x0b\x0c\r]+", text or "") if w]
+
+
+def quality_kept(texts, trusted):
+    """Which texts the quality rules keep; ``trusted`` tells which are trusted."""
+    runs = []
+    for t in texts:
+        h = [signed(xxhash.xxh64_intdigest(w, 42)) for w in regex.findall(quality.TOKENS, t or "")]
+        runs.append([x % 8192 for x in h] + [hashed(a, b) % 8192 for a, b in zip(h, h[1:])])
+    raw, good = collections.Counter(g for r in runs for g in r), collections.Counter(g for r, y in zip(runs, trusted) if y for g in r)
+    n, m = sum(raw.values()), sum(good.values())
+
+    def weight(g):
+        p = (raw[g] + 1) / (n + 8192)
+        return math.log((good[g] + 2000 * p) / (m + 2000) / p) if m else 0.0
+
+    out = []
+    for t, r in zip(texts, runs):
+        words = words_of(t)
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        many = collections.Counter(windows)
+        again = {k + j for k, w in enumerate(windows) if many[w] > 1 for j in range(8)}
+        out.append(len(words) >= 20 and 100 * len(again) <= 30 * len(words) and (sum(map(weight, r)) / len(r) if r else 0.0) >= -0.2)
+    return out
+
+
+def near_copies(rows):
+    """The (id, text) rows that stay: the first of each component of texts whose five-word shingles are similar by 0.8."""
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
+    shingles = []
+    for _, t in order:
+        w = (t or "").encode().lower().split()
+        shingles.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(order)))
+    for a in range(len(order)):
+        for b in range(a):
+            both = len(shingles[a] & shingles[b])
+            if both and both >= 0.8 * len(shingles[a] | shingles[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return [r for k, r in enumerate(order) if label[k] == k]
+
+
+def holds(text, item):
+    """Whether greedy tiles of five tokens and more cover half of the item."""
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    item, text = tokens(item), tokens(text)
+    least, free_p, free_t, covered = min(5, len(item)), [True] * len(item), [True] * len(text), 0
+    while item:
+        best = None
+        for p in range(len(item)):
+            for t in range(len(text)):
+                n = 0
+                while p + n < len(item) and t + n < len(text) and free_p[p + n] and free_t[t + n] and item[p + n] == text[t + n]:
+                    n += 1
+                if n >= least and (best is None or n > best[0]):
+                    best = (n, p, t)
+        if best is None:
+            break
+        n, p, t = best
+        free_p[p : p + n] = free_t[t : t + n] = [False] * n
+        covered += n
+    return bool(item) and covered >= 0.5 * len(item)
+
+
+def targets(sizes):
+    """The words to take of each source, from ``sizes`` (source to words)."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    weight = {n: (1, 2, 3)[k % 3] for k, n in enumerate(names)}
+    target, free, rest = {}, set(names), Fraction(sum(sizes.values()))
+    while free:
+        level = rest / sum(weight[n] for n in free)
+        over = {n for n in free if weight[n] * level > 3 * sizes[n]}
+        if not over:
+            return {**target, **{n: float(weight[n] * level) for n in free}}
+        for n in over:
+            target[n] = float(3 * sizes[n])
+            rest -= 3 * sizes[n]
+        free -= over
+    return target
+
+
+def mixed(rows):
+    """``rows`` (id, text, source) to the words taken of each: up to three passes over a source in hashed order."""
+    sized = [(i, len(words_of(t)), s) for i, t, s in rows]
+    total = collections.Counter()
+    for _, n, s in sized:
+        total[s] += n
+    want, taken = targets(dict(total)), {}
+    for source, words in want.items():
+        at = 0
+        seed = xxhash.xxh64_intdigest((42).to_bytes(4, "little"), 42)
+        for i, n in sorted(((i, n) for i, n, s in sized if s == source), key=lambda x: (hashed(*x, seed=seed) & FULL, x)):
+            taken[i] = sum(max(0, min(int(words), k * total[source] + at + n) - (k * total[source] + at)) for k in range(3))
+            at += n
+    return taken
