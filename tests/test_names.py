@@ -135,3 +135,66 @@ def test_guide_blocks_give_the_same_matches(spark, monkeypatch):
     assert ("mynetflix", "netflix", 0.92) in whole and ("net", "netflix", 0.86) in whole
     monkeypatch.setattr(guidance, "FEW", 6)
     assert rows() == whole
+
+
+def plain_edit(a, b):
+    """Edit similarity from the table of longest common subsequences."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+    return 100.0 if not a and not b else 200.0 * row[-1] / (len(a) + len(b))
+
+
+def plain_tokens(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    left, right = (f"{both} {' '.join(sorted(s))}".strip() for s in (x - y, y - x))
+    if both and (x <= y or y <= x):
+        return 100.0
+    return max(plain_edit(left, right), plain_edit(both, left) if both else 0, plain_edit(both, right) if both else 0)
+
+
+def plain_grams(text):
+    out = []
+    for word in text.split():
+        padded = f" {word} "
+        for n in (2, 3, 4):
+            if n > 2 and len(padded) < n:
+                continue
+            out += [padded[k : k + n] for k in range(len(padded) - n + 1)]
+    return out
+
+
+def test_candidates_against_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rnd = random.Random(17)
+    registered = [(k, n.lower(), c) for k, (name, _, aliases) in enumerate(fixed.SEEDS) for n, c in [(name, True), *((a, False) for a in aliases)]]
+    names = ["".join(rnd.choice([x, x, x, "", x + "q"]) for x in rnd.choice(registered)[1]) + rnd.choice(["", " usa", " x y", " 7"]) for _ in range(60)] + ["zzz", "a", "netflix"]
+    held = Counter(g for _, n, _ in registered for g in set(plain_grams(n)))
+
+    def vector(text):
+        w = {g: c * (math.log((1 + len(registered)) / (1 + held[g])) + 1) for g, c in Counter(plain_grams(text)).items() if g in held}
+        norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
+        return {g: v / norm for g, v in w.items()}
+
+    vectors = [vector(n) for _, n, _ in registered]
+    want = set()
+    for name in set(names):
+        v, best = vector(name), {"fuzzy": Counter(), "cosine": Counter()}
+        for (s, other, canonical), w in zip(registered, vectors):
+            fuzzy = min(100.0, max(plain_tokens(name, other), plain_edit(name, other)) * (1.05 if canonical else 1.0))
+            best["fuzzy"][s] = max(best["fuzzy"][s], fuzzy)
+            best["cosine"][s] = max(best["cosine"][s], sum(x * w.get(g, 0.0) for g, x in v.items()))
+        for kind, found in best.items():
+            for rank, (s, x) in enumerate(sorted(found.items(), key=lambda e: (-round(e[1], 9), e[0]))[:3], 1):
+                want.add((name, kind, rank, s, round(x, 6)))
+    got = resolution.candidates(spark.createDataFrame([(n,) for n in set(names)], "cleaned string"), registry.seeds(spark)).collect()
+    assert {(r.cleaned, r.kind, r["rank"], r.service_ord, round(r.score, 6)) for r in got} == want
