@@ -65,3 +65,16 @@ def test_filters_clashes_and_empty_tables(spark):
     assert "KEPT" not in out.columns and out.filter("kept").count() == 1
     assert quality.score(docs.limit(0), labels).count() == 0
     assert quality.score(docs, labels.limit(0)).filter(F.col("llr") != 0).count() == 0
+
+
+def test_very_long_and_repeated_rows(spark):
+    import brute
+
+    rows = [(k, " ".join(f"w{(j * 7 + k) % 900}" for j in range(40 + k))) for k in range(40)]
+    rows += [(100, "long words here " * 60000), (101, "x" * 300000), (3, rows[3][1]), (None, rows[4][1]), (102, "!! ## " * 50), (103, None)]
+    docs = spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, n_words int, b_grams string").repartition(3)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 2)], "doc_id long, quality int, toxic int")
+    out = quality.score(docs, labels).collect()
+    want = brute.quality_kept([t for _, t in rows], [i is not None and i < 40 and i % 2 == 0 for i, _ in rows])
+    assert sorted((str(r.doc_id), r.kept) for r in out) == sorted((str(i), k) for (i, _), k in zip(rows, want))
+    assert {r.b_grams for r in out} == {"y"} and len(out) == len(rows)
