@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ledgerlight.operators import guidance
+from ledgerlight.operators.guidance import COLUMNS
 
 #: The setting and the variable that name the workbook, and the places where it is looked for without them.
 SETTING, VARIABLE = "spark.ledgerlight.guides", "SUBSCRIPTION_CANCELLATION_XLSX"
@@ -95,7 +96,7 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if title.lower() != SKIPPED_SHEET
             for row in table_rows(rows)
         ]
-        columns = ["path", "sheet", *guidance.COLUMNS]
+        columns = ["path", "sheet", *COLUMNS]  # no module here: what runs on executors travels by value
         df = pd.DataFrame(out, columns=columns)
         df["#"] = df["#"].astype("Int64")
         yield df
