@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from ledgerlight.operators import guidance
 from ledgerlight.operators.guidance import COLUMNS
 
-#: The setting and the variable that name the workbook, and the places where it is looked for without them.
+# The variable and the file name of the workbook, and the places where it is looked for; the setting of a session goes first.
 SETTING, VARIABLE = "spark.ledgerlight.guides", "SUBSCRIPTION_CANCELLATION_XLSX"
 NAME = "subscription_cancellation_process.xlsx"
 PLACES = (".", "~/Downloads")
