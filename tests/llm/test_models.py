@@ -61,6 +61,51 @@ def test_language_model(spark):
     assert language_model.scored(df.limit(0)).count() == 0
 
 
+def bundles_of(texts, flags, most):
+    import pyarrow as pa
+
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "held_out": pa.array(flags, pa.bool_()), "text": pa.array(texts, pa.string())})
+    return list(language_model._Bundles(most)([batch]))
+
+
+def test_bundles_hold_every_token():
+    rnd = random.Random(16)
+    pieces = ["a", "É", "Ab", " ", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "w1"]
+    texts = [rnd.choice([None, "", " ", "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 30)))]) for _ in range(2 * language_model.PIECE + 300)]
+    for most in (1 << 20, 700, 1):
+        got = []
+        for row in bundles_of(texts, [False] * len(texts), most):
+            bundle = language_model.Bundle(row.to_pylist()[0])
+            got += zip(bundle.ids, np.split(bundle.one[bundle.word], np.cumsum(bundle.sizes)[:-1]), strict=True)
+        assert [i for i, _ in got] == list(range(len(texts)))
+        assert all(run.tolist() == language_model.tokens(text).tolist() for (_, run), text in zip(got, texts, strict=True))
+
+
+def test_parts_are_probed_once_for_all_bundles(monkeypatch):
+    """Work of a slice grows with its different n-grams, not with the bundles that ask for them."""
+    import pyarrow as pa
+
+    text, done = " ".join(f"w{k % 700}" for k in range(1000)), [0]
+    monkeypatch.setattr(language_model, "mixed", lambda x, k=0, f=language_model.mixed: (done.append(np.size(x)), f(x, k))[1])
+    work, read = [], []
+    for copies in (1, 40):
+        rows = bundles_of([text] * copies, [True] * copies, 1)
+        asked = pa.Table.from_batches([r for row in rows for r in language_model._Ask(0)([row])])
+        done.clear()
+        answers = language_model._Answer(1, 0).answers(0, asked)
+        work.append(sum(done))
+        read.append(set(answers.column("pairs").to_pylist()))
+    assert len(rows) == 40 and work[0] == work[1] > 0 and read[0] == read[1] and len(read[0]) == 1
+
+
+def test_order_of_hashes():
+    rnd = np.random.default_rng(17)
+    for n, most, spare in ((0, 5, 0), (1, 5, 0), (2, 5, 0), (50000, 1 << 63, 0), (50000, 1000, 0), (100000, 1 << 40, 24), (3000, 1 << 30, 30), (200, 1 << 20, 40)):
+        x = rnd.integers(0, most, n, dtype=np.uint64)
+        order, out = language_model.ordered(x, spare)
+        assert (out == np.sort(x)).all() and (x[order] == out).all() and (np.sort(order) == np.arange(n)).all()
+
+
 def test_filter_reads_levels():
     import pyarrow as pa
 
