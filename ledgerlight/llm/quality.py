@@ -34,12 +34,10 @@ MAX_TRUSTED = 20_000
 THRESHOLD = -0.2
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside 8-word windows that occur twice or more, from (distinct-checked) window hashes."""
-    starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
-    return F.when(F.size(words) < WINDOW, F.array().cast("array<bigint>")).otherwise(
-        F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
-    )
+def beside(array: str, by: int) -> Column:
+    """Hashes of each hash of an array with the one ``by`` places on; the last ``by`` have nothing there and mean nothing."""
+    later = F.slice(F.col(array), by + 1, F.greatest(F.size(array) - by, F.lit(0)))
+    return F.zip_with(F.col(array), later, lambda x, y: F.xxhash64(x, y))
 
 
 def covered(starts: Column) -> Column:
@@ -57,40 +55,39 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(common.SEPARATOR_CHARS)) != "")
     df = df.withColumns({"b_words": common.words(F.col(text)), "b_lines": lines})
-    df = df.withColumns({"b_windows": repeated_words(F.col("b_words"))})
-    # Only texts that repeat a window at all are sorted.  Each step is a column
-    # of its own: inside a lambda an expression would run once an element.
-    repeats = F.size(F.array_distinct("b_windows")) < F.size("b_windows")
-    df = df.withColumn("b_sorted", F.when(repeats, F.array_sort(F.transform("b_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    again = F.filter("b_sorted", lambda x, i: F.coalesce(F.get("b_sorted", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("b_sorted", i + 1)["h"] == x["h"], F.lit(False)))
-    df = df.withColumn("b_again", F.array_sort(F.transform(again, lambda x: x["i"])))
-    return df.withColumns(
+    # Each step is a column of its own: inside a lambda an expression would run
+    # once an element, and what is named twice would run twice.
+    df = df.withColumns(
         {
             "n_words": F.size("b_words").cast("bigint"),
-            "word_chars": F.length(F.translate(body, common.SEPARATOR_CHARS, "")).cast("bigint"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("bigint"),
+            "word_chars": F.length(F.array_join("b_words", "")).cast("bigint"),
+            "n_symbols": F.regexp_count(body, F.lit(f"[{SYMBOLS}]")).cast("bigint"),
             "n_dup_lines": (F.size("b_lines") - F.size(F.array_distinct("b_lines"))).cast("bigint"),
-            "n_repeat_words": F.coalesce(covered(F.col("b_again")), F.lit(0).cast("bigint")),
+            "b_one": F.transform("b_words", lambda w: F.xxhash64(w)),
         }
-    ).drop("b_words", "b_lines", "b_windows", "b_sorted", "b_again")
-
-
-def hashed_ngrams(text: Column, buckets: int) -> tuple[Column, Column]:
-    """Token hashes and, from them, the buckets of unigrams and bigrams."""
-    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0))
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    return hashes, lambda h: F.concat(
-        F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")),
-        F.transform(
-            F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))),
-            lambda x, i: F.pmod(F.xxhash64(F.get(h, i), x), F.lit(buckets)).cast("int"),
-        ),
     )
+    # Windows of one word, two, four and eight.  Only texts that repeat four
+    # words are hashed further, and only those that repeat eight are sorted.
+    df = df.withColumn("b_two", beside("b_one", 1)).withColumn("b_four", beside("b_two", 2))
+    df = df.withColumn("b_eight", F.when(F.size(F.array_distinct("b_four")) < F.size("b_four"), beside("b_four", 4)))
+    df = df.withColumn("b_windows", F.slice("b_eight", 1, F.greatest(F.size("b_eight") - (WINDOW - 1), F.lit(0))))
+    repeats = F.size(F.array_distinct("b_windows")) < F.size("b_windows")
+    df = df.withColumn("b_sorted", F.when(repeats, F.sort_array(F.transform("b_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    again = F.filter("b_sorted", lambda x, i: F.coalesce(F.get("b_sorted", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("b_sorted", i + 1)["h"] == x["h"], F.lit(False)))
+    df = df.withColumn("b_again", F.sort_array(F.transform(again, lambda x: x["i"])))
+    return df.withColumn("n_repeat_words", F.coalesce(covered(F.col("b_again")), F.lit(0).cast("bigint"))).drop(
+        "b_words", "b_lines", "b_one", "b_two", "b_four", "b_eight", "b_windows", "b_sorted", "b_again"
+    )
+
 
+def token_hashes(text: Column) -> Column:
+    """The hashes of a text's model tokens, in order."""
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(0)), lambda t: F.xxhash64(t))
 
-def with_ngrams(df: DataFrame, text: str, buckets: int) -> DataFrame:
-    hashes, grams = hashed_ngrams(F.col(text), buckets)
-    return df.withColumn("b_hashes", hashes).withColumn("b_grams", grams(F.col("b_hashes"))).drop("b_hashes")
+
+def bucket(hashed: Column, buckets: int) -> Column:
+    """The bucket of a token's hash, or of ``xxhash64`` of two of them for a bigram."""
+    return F.pmod(hashed, F.lit(buckets)).cast("int")
 
 
 def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
@@ -105,11 +102,15 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior
     The raw counts cover all documents; the trusted ones are found by a
     broadcast of at most MAX_TRUSTED ids.
     """
-    grams = with_ngrams(docs.select(F.col("doc_id"), F.col("text").alias("text")), "text", buckets)
-    grams = grams.join(F.broadcast(trusted_ids(labels)), F.col("doc_id") == F.col("trusted_id"), "left")
-    # explode_outer: for explode, Spark adds a filter on the size of the array, and computes the array within it
+    hashes = docs.select("doc_id", token_hashes(F.col("text")).alias("b_hashes"))
+    hashes = hashes.join(F.broadcast(trusted_ids(labels)), F.col("doc_id") == F.col("trusted_id"), "left")
+    # A row for each token and the next one, null after the last; two buckets of each, by expressions outside lambdas.
+    # The outer forms: for the plain ones, Spark adds a filter on the size of the array, and computes the array within it
+    pairs = F.arrays_zip(F.col("b_hashes").alias("x"), F.slice("b_hashes", 2, F.greatest(F.size("b_hashes") - 1, F.lit(0))).alias("y"))
+    tokens = hashes.select(F.col("trusted_id").isNotNull().cast("int").alias("trusted"), F.inline_outer(pairs))
+    both = F.array(bucket(F.col("x"), buckets), F.when(F.col("y").isNotNull(), bucket(F.xxhash64("x", "y"), buckets)))
     counts = (
-        grams.select(F.col("trusted_id").isNotNull().cast("int").alias("trusted"), F.explode_outer("b_grams").alias("bucket"))
+        tokens.select("trusted", F.explode_outer(both).alias("bucket"))
         .filter(F.col("bucket").isNotNull())
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.sum("trusted").alias("good"))
@@ -130,10 +131,19 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buck
     """All input columns, then the base counts, base_failed, llr (mean log ratio) and kept."""
     weights = log_ratios(docs, labels, buckets)
     df = common.packed(docs, text=F.col("text"))
-    df = with_ngrams(base_counts(df, "text"), "text", buckets).drop("text").withColumn("b_weights", weights.scalar())
-    df = df.withColumn("b_sum", F.aggregate("b_grams", F.lit(0.0), lambda acc, b: acc + F.get("b_weights", b)))
-    n = F.size("b_grams")
-    df = df.withColumn("llr", F.when(n == 0, F.lit(0.0)).otherwise(F.col("b_sum") / n)).withColumn(
+    df = base_counts(df, "text").withColumn("b_hashes", token_hashes(F.col("text"))).drop("text")
+    n = F.size("b_hashes")
+    # For each token its weight and that of the bigram with the next one.  Each of the two columns of weights is named
+    # once, and in a step apart from the hashes, so that Spark puts the subquery in their place: a column named twice is
+    # copied into every row.
+    df = df.withColumns({"b_next": F.slice("b_hashes", 2, F.greatest(n - 1, F.lit(0))), "b_unigrams": weights.scalar(), "b_bigrams": weights.scalar()})
+    sums = F.zip_with(
+        "b_hashes",
+        "b_next",
+        lambda x, y: F.get("b_unigrams", bucket(x, buckets)) + F.when(y.isNull(), F.lit(0.0)).otherwise(F.get("b_bigrams", bucket(F.xxhash64(x, y), buckets))),
+    )
+    df = df.withColumn("b_sum", F.aggregate(sums, F.lit(0.0), lambda acc, w: acc + w))
+    df = df.withColumn("llr", F.when(n == 0, F.lit(0.0)).otherwise(F.col("b_sum") / (2 * n - 1))).withColumn(
         "base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     )
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

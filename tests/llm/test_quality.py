@@ -78,3 +78,27 @@ def test_very_long_and_repeated_rows(spark):
     want = brute.quality_kept([t for _, t in rows], [i is not None and i < 40 and i % 2 == 0 for i, _ in rows])
     assert sorted((str(r.doc_id), r.kept) for r in out) == sorted((str(i), k) for (i, _), k in zip(rows, want))
     assert {r.b_grams for r in out} == {"y"} and len(out) == len(rows)
+
+
+def test_windows_that_nearly_repeat(spark):
+    four, seven, eight = "a b c d", "a b c d e f g", "a b c d e f g h"
+    texts = [f"{four} x {four}", f"{seven} x {seven} y", f"x {eight} y {eight}", f"{eight} {eight}", f"{eight} a", "a " * 9, "a " * 8, seven, four, f"{eight}\t{eight} \n {seven}"]
+    rows = quality.base_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text").collect()
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(r.text)
+    assert {r.text: r.n_repeat_words for r in rows}[texts[2]] == 16
+
+
+def test_cost_a_word(spark):
+    """No pass hashes a word more than twice or looks up each character, and the weights are computed once and not copied into rows."""
+    import re
+
+    docs = spark.createDataFrame([(k, f"some words of text {k} " * 6) for k in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.score(docs, labels).drop("text")
+    assert len(out.collect()) == 8
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "translate(" not in plan
+    assert max(len(x.split(",")) for x in re.findall(r"xxhash64\(([^()]*)\)", plan)) <= 3  # two hashes and the seed
+    assert not re.search(r"ubquery#\d+(, \[id=#\d+\])? AS ", plan)
+    assert "ReusedSubquery" in plan
